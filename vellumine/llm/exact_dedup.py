@@ -90,14 +90,16 @@ def exact_groups(
         "exact-hashed",
     )
     survivors = hashed.where("survives")
-    groups = (
+    # written, so that the join below has exchanges of its own, whose large partitions can be split
+    groups = cut(
         survivors.groupBy("n_norm", "head", "sha256")
         .agg(
             F.count("*").alias("group_size"),
             # bitwise not turns the order of ids round and cannot overflow; null comes last
             F.max_by("doc_id", F.struct(F.col("n_chars"), F.bitwise_not("doc_id"))).alias("keep_id"),
         )
-        .where("group_size > 1")
+        .where("group_size > 1"),
+        "exact-groups",
     )
     in_groups = survivors.join(groups, ["n_norm", "head", "sha256"], "left")
     alone = hashed.where("not survives").withColumns(
