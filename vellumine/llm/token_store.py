@@ -32,7 +32,8 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of 32-bit numbers."""
     ranks = ranks.astype("<u4")
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    widest = int(code.max(initial=0)) + 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest) <= code[:, None]]
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = code
     control = (four.reshape(-1, 4) << (2 * np.arange(4))).sum(axis=1, dtype=np.uint8)
@@ -42,9 +43,10 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n numbers that pack made these bytes of: lengths come from a table by control byte."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    widest = int(lengths.max(initial=1))
+    out = np.zeros((n, widest), np.uint8)
+    out[np.arange(widest) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    return sum(out[:, k].astype("<u4") << np.uint32(8 * k) for k in range(widest))
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
@@ -55,7 +57,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
         encoder = byte_encoder(tokenizer_path)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                ids = [encoder.encode(t.as_py() or "") + end for t in b.column(1).slice(at, 512)]
+                ids = [i + end for i in encoder.encode([t.as_py() or "" for t in b.column(1).slice(at, 512)])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
