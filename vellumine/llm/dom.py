@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?][^>]*>?", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:[\"'][^>]*)?>?|<[!?][^>]*>?", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
@@ -94,7 +94,10 @@ def _is_noise(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
 
 
 def parse(page: str | None) -> Page:
-    """Blocks in page order; text in no element, or in elements never closed, counts too."""
+    """Blocks in page order; text in no element, or in elements never closed, counts too.
+
+    A quote in a tag that nothing closes ends with the tag, so the text after it is kept.
+    """
     page = page or ""
     stack = [_Open("#", "", False, False)]
     blocks: list[Block] = []

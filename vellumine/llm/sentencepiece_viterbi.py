@@ -136,7 +136,7 @@ class Model:
         if len(self.memo) >= MEMO:
             self.memo.clear()
         by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(words - self.memo.keys()):
+        for w in sorted(w for w in words if w not in self.memo):
             by_length[len(w)].append(w)
         for length, group in by_length.items():
             step = max(1, _CELLS // length)

@@ -79,7 +79,11 @@ def count_tokens(
     ours = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("d"))
     once = texts.join(missing, ours, "left_semi").select("digest", "text")
     new = once.mapInArrow(encoded, "digest binary, n_tokens long")
+    # rows that repeat id and text both come here; their key is stored once
+    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(key).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
-    return marks.join(known(), "digest").select(
+    # written, so that the join has exchanges of its own, whose hot keys can be split
+    counts = cut(known().join(marks.select("digest"), "digest", "left_semi"), "token-known")
+    return marks.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
