@@ -8,6 +8,7 @@ equality join on its prefix, moving ids and sizes but no text.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ from .common import cut, small_side
 #: Bits of the hash; the directory may not grow deeper.
 HASH_BITS = 48
 LIMIT = 64 << 20
-#: Bits at which sizes are pre-aggregated; buckets below it are split from single documents.
-BASE_BITS = 20
+#: Sizes are pre-aggregated this many bits below the depth at which shards would fit on average;
+#: buckets that lie deeper still are split from single documents.
+SPARE_BITS = 6
 
 
 def hash_bits(id_: Column) -> Column:
@@ -33,17 +35,22 @@ def _prefix(bits: int, col: str = "h", of: int = HASH_BITS) -> Column:
     return F.shiftright(F.col(col), of - bits)
 
 
-def directory(sizes: DataFrame, limit: int) -> DataFrame:
+def base_bits(sizes: DataFrame, limit: int) -> int:
+    total = sizes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    return min(HASH_BITS, SPARE_BITS + max(0, math.ceil(math.log2(max(total, 1) / max(limit, 1)))))
+
+
+def directory(sizes: DataFrame, limit: int, bits: int) -> DataFrame:
     """Buckets (depth, prefix, bytes) that together hold all of sizes (h, n_bytes).
 
     A bucket over the limit at HASH_BITS bits (one document, or ids with one hash) stays.
     """
-    base = cut(sizes.groupBy(_prefix(BASE_BITS).alias("h")).agg(F.sum("n_bytes").alias("n_bytes")), "shard-base")
-    done, left, width = [], base, BASE_BITS
+    base = cut(sizes.groupBy(_prefix(bits).alias("h")).agg(F.sum("n_bytes").alias("n_bytes")), "shard-base")
+    done, left, width = [], base, bits
     for depth in range(HASH_BITS + 1):
-        if depth == BASE_BITS + 1:
-            over = left.select(_prefix(BASE_BITS, of=width).alias("__h")).distinct()
-            left = sizes.join(over, _prefix(BASE_BITS) == F.col("__h"), "left_semi")
+        if depth == bits + 1:
+            over = left.select(_prefix(bits, of=width).alias("__h")).distinct()
+            left = sizes.join(small_side(over), _prefix(bits) == F.col("__h"), "left_semi")
             width = HASH_BITS
         sums = left.groupBy(_prefix(depth, of=width).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
         sums = cut(sums.withColumn("depth", F.lit(depth)), "shard-sums")
@@ -68,9 +75,10 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"))
     rows = cut(rows.withColumn("h", hash_bits(F.col("doc_id"))), "shard-sizes")
-    buckets = cut(directory(rows, limit), "shard-directory")
+    bits = base_bits(rows, limit)
+    buckets = cut(directory(rows, limit, bits), "shard-directory")
     deepest = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
-    at_bits = min(deepest, BASE_BITS)
+    at_bits = min(deepest, bits)
     shallow = buckets.where(F.col("depth") <= at_bits)
     first = F.expr(f"shiftleft(prefix, {at_bits} - depth)")
     last = F.expr(f"shiftleft(prefix + 1, {at_bits} - depth) - 1")
@@ -92,8 +100,8 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     over = placed.where(F.col("bytes") > limit).withColumn("part", F.floor(before / limit).cast("long"))
     over = over.withColumn("bytes", F.sum("n_bytes").over(W.partitionBy("depth", "prefix", "part")))
     fits = placed.where(F.col("bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
-    bits = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    name = F.when(F.col("part") > 0, F.concat_ws(".", bits, F.col("part").cast("string"))).otherwise(bits)
+    label = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
+    name = F.when(F.col("part") > 0, F.concat_ws(".", label, F.col("part").cast("string"))).otherwise(label)
     return fits.unionByName(over).select(
         "doc_id", "n_bytes", "depth", "prefix", "part", name.alias("shard"), F.col("bytes").alias("shard_bytes")
     )
