@@ -82,8 +82,8 @@ def count_tokens(
     # rows that repeat id and text both come here; their key is stored once
     new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(key).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
-    # written, so that the join has exchanges of its own, whose hot keys can be split
-    counts = cut(known().join(marks.select("digest"), "digest", "left_semi"), "token-known")
+    # of distinct keys, and written, so that the last join has exchanges whose hot keys can be split
+    counts = cut(first.select("digest").join(known(), "digest"), "token-known")
     return marks.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
