@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -19,7 +20,9 @@ TEXT = st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", " \n", "\t", "\xa0
 def test_byte_encoder_equals_the_library(texts):
     t = Tokenizer.from_file(BYTES)
     want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
-    assert tokenizing.byte_encoder(BYTES).encode(texts) == want
+    encoder = tokenizing.byte_encoder(BYTES)
+    assert encoder.encode(pa.array(texts, pa.string())).to_pylist() == want
+    assert encoder.encode(pa.array([*texts, None], pa.string()), b"\0\0").to_pylist() == [w + b"\0\0" for w in [*want, b""]]
 
 
 @given(TEXT)

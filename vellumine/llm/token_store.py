@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +24,8 @@ from .tokenizing import byte_encoder
 END = 0
 #: Ids a block holds, unless one document has more.
 BLOCK_IDS = 1 << 18
+#: Bytes of text that are cut up at a time.
+SLICE_BYTES = 1 << 22
 BLOCK = "part int, start_in_part long, n_ids long, docs binary, lengths binary, control binary, data binary"
 #: Byte lengths of the four ids of each control byte.
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -49,6 +52,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return sum(out[:, k].astype("<u4") << np.uint32(8 * k) for k in range(widest))
 
 
+def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (little-endian 16-bit numbers with END last) of every row."""
     end = np.array([END], "<u2").tobytes()
@@ -56,9 +67,10 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids = [i + end for i in encoder.encode([t.as_py() or "" for t in b.column(1).slice(at, 512)])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for start, stop in _slices(b.column(1)):
+                part = b.slice(start, stop - start)
+                ids = encoder.encode(part.column(1), end)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(each, "doc_id long, ids binary")
@@ -71,8 +83,9 @@ def ranked_ids(ids: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=1 << 16)
+            ids_ = pc.binary_join(pa.ListArray.from_arrays([0, b.num_rows], b.column(0)), b"")
+            if b.num_rows:
+                total += np.bincount(np.frombuffer(ids_[0].as_buffer(), "<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces a worker remembers; then it starts anew. Bounds its memory, not its results.
 MEMO = 800_000
@@ -23,6 +26,8 @@ _BYTE_PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 #: Marks that end words often; none of them is a letter, a digit or an apostrophe.
 _MARKS = ".,;:!?%$&*#)]}"
+#: Latin letters, with or without a space: surely one piece of the pattern.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Python's split() also splits at these, the libraries don't.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -43,74 +48,110 @@ def version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def _byte_chars() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as itself if it prints in Latin-1, others from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class ByteEncoder(dict):
     """Ids of texts under byte_bpe_50k.json, as little-endian numbers of 16 bits.
 
     Maps what follows a single space, up to the next one, to its ids with that space. The
-    pattern always parts a text there if no other white space touches the spaces.
+    pattern always parts a text there if no other white space touches the spaces. Arrow cuts
+    the texts of a batch up and numbers their distinct pieces, so only those are looked up.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cores: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts pieces into the memo; what their words have in common is encoded once.
+    def core(self, core: str) -> bytes:
+        """Ids of a part of a text that the pattern parts from what stands beside it."""
+        found = self.cores.get(core)
+        if found is None:
+            if _WORD.fullmatch(core):  # one piece of the pattern: straight to the model
+                named = core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                found = array("H", [t.id for t in self.model.tokenize(named)]).tobytes()
+            else:
+                found = self.whole(core)
+            self.cores[core] = found
+        return found
+
+    def piece(self, piece: str) -> bytes | None:
+        """Ids of a space and piece; None if white space at its ends belongs to what stands beside it.
 
         A line end between two characters that aren't white space is a token of its own, and
-        so is a run of marks after letters, so these are cut off before the library is asked.
+        so is a run of marks after letters, so these are cut off: their words recur.
         """
-        if len(self) >= MEMO:
+        if not piece or piece[0] in _SPACES or piece[-1] in _SPACES:
+            return None
+        lines = piece.split("\n")
+        if len(lines) > 1 and not all(x and x[0] not in _SPACES and x[-1] not in _SPACES for x in lines):
+            return self.core(" " + piece)
+        ids = self._marks_apart(" " + lines[0])
+        for line in lines[1:]:
+            ids += self.core("\n") + self._marks_apart(line)
+        return ids
+
+    def _marks_apart(self, word: str) -> bytes:
+        letters = word.rstrip(_MARKS)
+        if len(letters) < len(word) and _WORD.fullmatch(letters):
+            return self.core(letters) + self.core(word[len(letters) :])
+        return self.core(word)
+
+    def ids_of(self, pieces: list[str]) -> list[bytes | None]:
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > MEMO:
             self.clear()
             self.cores.clear()
-        cut_up: dict[str, list[str]] = {}
-        for p in pieces:
-            parts = [" " + p]
-            if not p or p[0] in _SPACES or p[-1] in _SPACES:
-                continue
-            if "\n" in p:
-                lines = p.split("\n")
-                if not all(x and x[0] not in _SPACES and x[-1] not in _SPACES for x in lines):
-                    cut_up[p] = parts
-                    continue
-                parts = [" " + lines[0], *(x for line in lines[1:] for x in ("\n", line))]
-            cut_up[p] = [y for x in parts for y in self._marks_apart(x)]
-        asked = list({x for parts in cut_up.values() for x in parts if x not in self.cores})
-        got = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        self.cores.update((x, np.array(e.ids, "<u2").tobytes()) for x, e in zip(asked, got))
-        core = self.cores.__getitem__
-        self.update((p, b"".join(map(core, parts))) for p, parts in cut_up.items())
-
-    @staticmethod
-    def _marks_apart(word: str) -> list[str]:
-        letters = word.rstrip(_MARKS)
-        if len(letters) < len(word) and letters.removeprefix(" ").isalpha():
-            return [letters, word[len(letters) :]]
-        return [word]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.split(" ") for t in texts]
-        used = set().union(*pieces)
-        self.learn({p for p in used if p not in self})
-        # a small map for the batch: the memo is too large for a processor's cache
-        ids = {p: self[p] for p in used if p in self}
-        return [self._one(t, ps, ids) for t, ps in zip(texts, pieces)]
-
-    def _one(self, text: str, pieces: list[str], ids: dict[str, bytes]) -> bytes:
+            new = pieces
+        self.update((p, self.piece(p)) for p in new)
+        return list(map(self.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text (null: empty) with `end` after them, as a binary array."""
+        texts = texts.fill_null("")
+        if not len(texts):
+            return pa.array([], pa.binary())
+        cut_up = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(cut_up).to_numpy()
+        first = np.append(0, np.cumsum(counts, dtype=np.int64))  # where each text's pieces start
+        pieces = cut_up.flatten().dictionary_encode()
+        at = pieces.indices.to_numpy().astype(np.int64)
+        known = pieces.dictionary.to_pylist()
+        ids = self.ids_of(known)
+        leads = [known[i] for i in at[first[:-1]]]
+        at[first[:-1]] = len(known)
+        unsure = np.array([v is None for v in ids] + [False])[at]
+        apart = np.add.reduceat(unsure, first[:-1], dtype=np.int64) > 0
+        apart |= np.array([not x or x[0] in _SPACES for x in leads])
+        for special in self.specials:
+            apart |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        # a text's first piece brings the end of the text before it; the last end stands alone
+        heads = [end + (self._apart(texts[i].as_py()) if apart[i] else self.whole(x)) for i, x in enumerate(leads)]
+        at[np.repeat(apart, counts)] = len(known) + len(heads)
+        at[first[:-1]] = len(known) + np.arange(len(heads))
+        at = np.append(at, len(known) + len(heads) + 1)
+        values = pa.array([*(v or b"" for v in ids), *heads, b"", end], pa.binary()).take(pa.array(at))
+        _, bounds, data = values.buffers()
+        bounds = np.frombuffer(bounds, np.int32)[first] + np.int32(len(end))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), data])
+
+    def _apart(self, text: str) -> bytes:
         """White space before a special string belongs to no word, so such texts go whole."""
         if any(s in text for s in self.specials):
             return self.whole(text)
-        if text and text[0] not in _SPACES:
-            try:
-                rest = b"".join(map(ids.__getitem__, pieces[1:]))
-                return self.whole(pieces[0]) + rest
-            except KeyError:  # a piece whose white space belongs to what stands beside it
-                pass
         return b"".join(map(self._other, _BYTE_PIECES.findall(text)))
 
     def _other(self, piece: str) -> bytes:
