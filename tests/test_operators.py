@@ -1,3 +1,4 @@
+import zipfile
 from datetime import datetime
 
 import pytest
@@ -99,6 +100,29 @@ def test_spreadsheet(spark):
     assert got[0]["apply_links"] == ["https://a.cn/1", "https://a.cn/2"] and got[0]["graduation_years"] == [2027]
 
 
+def test_xlsx(spark, tmp_path):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="A" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rels.format('<Relationship Id="r1" Target="worksheets/s.xml"/>'),
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>示例</t></si><si><r><t>上海,</t></r><r><t> 南京</t></r></si></sst>',
+        "xl/worksheets/s.xml": f'''<worksheet xmlns="{main}" xmlns:r="{rel}"><sheetData><row r="1"><c r="B1" t="s"><v>0</v></c></row>
+            <row r="3"><c r="A3"><v>46209</v></c><c r="B3" t="s"><v>0</v></c><c r="F3" t="s"><v>1</v></c><c r="M3" t="inlineStr"><is><t>投递</t></is></c><c r="N3"/></row>
+            </sheetData><hyperlinks><hyperlink ref="M3" r:id="h1"/></hyperlinks></worksheet>''',
+        "xl/worksheets/_rels/s.xml.rels": rels.format('<Relationship Id="h1" Target="https://a.cn/apply" TargetMode="External"/>'),
+    }
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    raw = spreadsheet.read_xlsx(spark, str(tmp_path / "a.xlsx"))
+    got = raw.collect()
+    assert [(r["row_number"], r["updated_at"], r["company_name"], r["apply_url"]) for r in got] == [(3, "2026-07-06", "示例", "投递")]
+    typed = spreadsheet.typed(raw).collect()
+    # apply_url is the 13th column, M; a cell's link counts though its text holds none
+    assert typed[0]["apply_links"] == ["https://a.cn/apply"] and typed[0]["locations"] == ["上海", "南京"]
+
+
 def test_stream_merge_is_idempotent(spark, tmp_path):
     like = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, content string")
     like.write.parquet(str(tmp_path / "in"))
