@@ -69,8 +69,10 @@ def split_tags(text: Column, pattern: str = r"[,，;；、/|\s]+") -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """Values without those whose lower-case form came before; the first spelling stays."""
-    keys = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    # no lambda names the column itself, so it may come from a Python function
+    seen = lambda out, v: F.exists(out, lambda o: F.lower(o) == F.lower(v))
+    empty = F.array().cast("array<string>")
+    return F.aggregate(values, empty, lambda out, v: F.when(seen(out, v), out).otherwise(F.array_append(out, v)))
 
 
 def mapped(text: Column, aliases: dict[str, str], keep_unknown: bool = True) -> Column:

@@ -14,7 +14,8 @@ from ..functions import vectors as vec
 from ..operators import facets, matching, merging, quality, ranking
 from ..sources import records
 from ..streaming import feeds, limiter
-from .oracles import ORACLES
+from . import facts
+from .oracles import ORACLES as CATALOGUE_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -386,4 +387,5 @@ def q51_limiter(spark: SparkSession, d: str) -> DataFrame:
     return limiter.accepted(_t(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
-QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
+ORACLES = CATALOGUE_SQL | facts.ORACLES
+QUERIES = facts.QUERIES | {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
