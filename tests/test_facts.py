@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import link_types
 from vellumine.functions import normalize as nm
-from vellumine.operators import history
+from vellumine.operators import history, sites
 from vellumine.sources import documents
 
 
@@ -90,3 +90,18 @@ def test_documents(spark, tmp_path):
         "c.md": ("# t", None),
         "d.docx": (None, "BadZipFile"),
     }
+
+
+def test_vectors_are_filled(spark):
+    rows = spark.createDataFrame([(1, "ab", None), (2, None, None), (3, "x", [9.0, 9.0])], "id int, t string, v array<float>")
+    load = lambda: lambda texts: [[len(t), 1] for t in texts]
+    got = {r["id"]: r["v"] for r in sites.filled_vectors(rows, "id", "t", "v", load, 2).collect()}
+    assert got == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: [9.0, 9.0]}
+    with pytest.raises(Exception, match="finite numbers"):
+        sites.filled_vectors(rows, "id", "t", "v", load, 3).collect()
+
+
+def test_profiles_of_odd_links(spark):
+    rows = spark.createDataFrame([(1, "https://a.x.cn/1", "Acme Ltd"), (2, "https://x.cn.evil.com", "acme"), (3, None, None)], "id int, url string, name string")
+    profiles = spark.createDataFrame([(0, "p", "x.cn", "acme")], "ordinal int, profile string, domain string, alias string")
+    assert [tuple(r) for r in sites.company_profiles(rows, "id", "url", "name", profiles).collect()] == [(1, "p")]

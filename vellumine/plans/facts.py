@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import link_types
 from ..functions import normalize as nm
-from ..operators import history
+from ..operators import history, sites
 
 PLACES = ["上海市 ", "Remote", "全国多地", "不限", "北京", "市", "居家办公"]
 CITIES = ["上海", "远程", "全国", None, "北京", "市", "远程"]
@@ -113,6 +113,27 @@ def q63_named_sources(spark: SparkSession, d: str) -> DataFrame:
     return history.renamed_if_unnamed(old, new, "k", "name")
 
 
+#: ordinal, profile, domain and alias of companies (here of invented ones).
+PROFILES = [(2, "net", "example.net", "a"), (1, "org", "example.org", "e"), (3, "any", "net", ""), (0, "pills", "example.com", "pills")]
+
+
+def q64_company_profiles(spark: SparkSession, d: str) -> DataFrame:
+    profiles = spark.createDataFrame(PROFILES, "ordinal int, profile string, domain string, alias string")
+    name = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
+    pages = _t(spark, d, "pages").select("page_id", "url", name.alias("name"))
+    return sites.company_profiles(pages, "page_id", "url", "name", F.broadcast(profiles))
+
+
+def q65_shared_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return sites.shared_hosts(_t(spark, d, "pages"), "url", F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1))
+
+
+def q66_source_names(spark: SparkSession, d: str) -> DataFrame:
+    platform = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
+    default = F.concat(F.lit("source "), F.col("o_custkey").cast("string"))
+    return sites.source_names(_t(spark, d, "orders"), "o_custkey", platform, default)
+
+
 _CAREER = "|".join(link_types.CAREER_MARKS)
 
 ORACLES = {
@@ -172,6 +193,22 @@ FROM documents""",
 SELECT p_partkey, concat_ws(chr(10), 'title: ' || p_name, CASE WHEN p_partkey % 4 <> 0 THEN 'brand: ' || p_brand END, 'kind: ' || lower(p_type)) AS text,
        p_brand || chr(10) || p_type AS query_text
 FROM part""",
+    "q64_company_profiles": """
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages)
+SELECT * FROM (
+  SELECT page_id, CASE WHEN regexp_matches(host, '(^|[.])example[.]com$') AND contains(host, 'pills') THEN 'pills'
+                       WHEN regexp_matches(host, '(^|[.])example[.]org$') AND contains(host, 'e') THEN 'org'
+                       WHEN regexp_matches(host, '(^|[.])example[.]net$') AND contains(host, 'a') THEN 'net'
+                       WHEN regexp_matches(host, '(^|[.])net$') THEN 'any' END AS profile
+  FROM h
+) WHERE profile IS NOT NULL""",
+    "q65_shared_hosts": """
+SELECT host, count(*) AS n, count(DISTINCT path) AS paths, min(path) AS first_path, max(path) AS last_path
+FROM (SELECT lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+GROUP BY host HAVING count(DISTINCT path) > 1""",
+    "q66_source_names": """
+SELECT o_custkey, CASE WHEN count(DISTINCT p) = 1 THEN min(p) ELSE 'source ' || o_custkey END AS name
+FROM (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS p FROM orders) GROUP BY o_custkey""",
     "q63_named_sources": """
 SELECT coalesce(s_suppkey, c_custkey) AS k,
        CASE WHEN s_suppkey IS NULL THEN c_name WHEN s_suppkey % 3 = 0 THEN coalesce(c_name, s_suppkey::VARCHAR) ELSE s_name END AS name
