@@ -49,6 +49,28 @@ def test_low_branches_may_be_joined(spark, monkeypatch):
     test_branches_that_repeat_go(spark)
 
 
+def extracted(spark, pages):
+    """Texts by page id; pages are (id, host, html)."""
+    rows = [(i, f"https://{host}/{i}", html) for i, host, html in pages]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_keep_titles_and_repeated_lists_go(spark):
+    copy = "<div><h1>Title</h1>" + "".join(f"<p>Paragraph {k}</p>" for k in range(12)) + "</div>"
+    pages = [(i, "copies.com", copy) for i in range(10)]
+    pages += [(100 + i, "two.com", copy.replace("Title", f"Title {i % 2}").replace("Par", f"{i % 2} par")) for i in range(40)]
+    items = "<ul>" + "".join(f"<li>Item {k}</li>" for k in range(30)) + "</ul>"
+    pages += [(200 + i, "list.com", f"{items}<div><p>Story {i}</p><p>End {i}</p></div>") for i in range(20)]
+    # unlike the list's items, the one item that only this page has stays
+    pages += [(300 + i, "own.com", items[:-5] + f"<li>Own {i}</li></ul><div><p>Story {i}</p></div>") for i in range(20)]
+    got = extracted(spark, pages)
+    text = "\n".join(["Title", *(f"Paragraph {k}" for k in range(12))])
+    assert all(got[i] == text for i in range(10))
+    assert all(got[100 + i].startswith(f"Title {i % 2}\n") and got[100 + i].count("\n") == 12 for i in range(40))
+    assert all(got[200 + i] == f"Story {i}\nEnd {i}" for i in range(20))
+    assert all(got[300 + i] == f"Own {i}\nStory {i}" for i in range(20))
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

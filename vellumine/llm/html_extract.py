@@ -1,13 +1,15 @@
 """Main text of pages by site style trees.
 
 The DOMs of a host are merged into one tree of style paths. A content node's importance is one
-minus the mean entropy of its features (texts) over the pages that have it: what most pages
-repeat weighs little. A presentation node's importance is the entropy of its styles (which
-elements it holds) over its pages. A branch's importance combines both, and branches of low
-importance are removed from each page, as are elements that say they are no content.
+minus the mean entropy of its features (texts) over the pages that have it, each text weighed by
+its pages: what most pages repeat weighs little, however many texts a page has there. A
+presentation node's importance is the entropy of its styles (which elements it holds) over its
+pages. A branch's importance combines both. From branches of low importance the texts that
+repeat are removed from each page, as are elements that say they are no content; a text that few
+pages have stays, since nothing says that it is no content.
 
 Pages send 8-byte hashes, which are summed before they are shuffled; html is never shuffled
-unless the low branches of all hosts together are too many to send to every task.
+unless the repeated texts of all hosts together are too many to send to every task.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .dom import Page, parse
+from .common import cut, small_side
+from .dom import Block, Page, parse
 
 #: Pages a branch must be on before its entropy says anything.
 LEAST_PAGES = 8
+#: Kinds of features.
+TEXT, STYLE, ANY = 0, 1, 2
 #: Importance below which a branch goes, and the share that presentation has in it.
 LOW, PRESENTATION = 0.35, 0.1
-#: Low branches that may be sent to every task (8 bytes each).
+#: Repeated texts of low branches that may be sent to every task (8 bytes each).
 MOST_LOW = 1_000_000
 
 
@@ -47,8 +51,13 @@ def branch_key(host: str, path: str) -> int:
     return _hash(host, path)
 
 
+def block_key(host: str, block: Block) -> int:
+    """Of a text on its branch; Spark makes the same number of the two hashes."""
+    return branch_key(host, block.path) ^ _hash(block.text)
+
+
 def main_text(page: Page, host: str, low: np.ndarray) -> str:
-    """Blocks that no noise element holds and whose branch isn't low, one a line.
+    """Blocks that no noise element holds and that aren't in low (repeated_texts), one a line.
 
     If landmarks (article, main) hold any of them, only those count.
     """
@@ -56,16 +65,18 @@ def main_text(page: Page, host: str, low: np.ndarray) -> str:
     if any(b.content for b in blocks):
         blocks = [b for b in blocks if b.content]
     if len(low) and blocks:
-        keys = np.array([branch_key(host, b.path) for b in blocks], np.int64)
+        keys = np.array([block_key(host, b) for b in blocks], np.int64)
         at = np.minimum(np.searchsorted(low, keys), len(low) - 1)
         blocks = [b for b, gone in zip(blocks, (low[at] == keys).tolist()) if not gone]
     return "\n".join(b.text for b in blocks)
 
 
-def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host and style path: host, branch, pages, content, importance.
+def branch_features(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """site, branch, kind, feature, n (pages that have it there), content.
 
-    content tells whether any page has text there that isn't noise by its elements.
+    Features of a branch are its texts (kind TEXT), the styles of a page taken together (STYLE),
+    and one for having texts at all (ANY). content tells whether any page has text there that
+    isn't noise by its elements.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +86,14 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 host, page = host_of(url.as_py()), parse(text.as_py())
                 site = _hash(host)
                 kept = {x.path for x in page.blocks if not x.noise}
-                seen = {(branch_key(host, x.path), _hash(x.text), 0, x.path in kept) for x in page.blocks}
+                keys = {path: branch_key(host, path) for path in {x.path for x in page.blocks}}
+                seen = {(keys[x.path], _hash(x.text), TEXT, x.path in kept) for x in page.blocks}
+                seen |= {(key, 0, ANY, path in kept) for path, key in keys.items()}
+                styles: dict[str, set[str]] = {}
                 for path, style in page.styles:
-                    seen.add((branch_key(host, path), _hash(style), 1, path in kept))
+                    styles.setdefault(path, set()).add(style)
+                for path, found in styles.items():
+                    seen.add((branch_key(host, path), _hash(*sorted(found)), STYLE, path in kept))
                 rows += [(site, *x) for x in seen]
             if rows:
                 columns = [pa.array(c) for c in zip(*rows)]
@@ -86,38 +102,55 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     found = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(
         nodes, "site long, branch long, feature long, kind long, content boolean"
     )
-    features = found.groupBy("site", "branch", "kind", "feature").agg(
-        F.count("*").alias("n"), F.max("content").alias("content")
-    )
+    return found.groupBy("site", "branch", "kind", "feature").agg(F.count("*").alias("n"), F.max("content").alias("content"))
+
+
+def style_trees(features: DataFrame) -> DataFrame:
+    """One row per branch (host and style path) with text: site, branch, pages, content, importance."""
+
+    def total(kind: int, value: Column | str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value))
+
     # of a content node, a feature on n of m pages has the entropy log n / log m; of a
     # presentation node the styles' shares n / m have the entropy -sum(n / m * log(n / m)) / log m
+    n_log = F.col("n") * F.log("n")
     sums = features.groupBy("site", "branch").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("texts"),
-        F.count(F.when(F.col("kind") == 0, 1)).alias("distinct_texts"),
-        F.sum(F.when(F.col("kind") == 0, F.log("n"))).alias("text_log"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("styled"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("style_log"),
+        total(ANY, F.col("n")).alias("pages"),
+        total(TEXT, F.col("n")).alias("texts"),
+        total(TEXT, n_log).alias("text_log"),
+        total(STYLE, F.col("n")).alias("styled"),
+        total(STYLE, n_log).alias("style_log"),
         F.max("content").alias("content"),
     )
-    m = F.col("texts")
-    text = F.when(m > 1, 1 - F.col("text_log") / F.col("distinct_texts") / F.log(m)).otherwise(1.0)
+    m = F.col("pages")
+    text = F.when(m > 1, 1 - F.col("text_log") / F.col("texts") / F.log(m)).otherwise(1.0)
     s = F.col("styled")
     style = F.when(s > 1, (F.log(s) - F.col("style_log") / s) / F.log(s)).otherwise(1.0)
     share = F.when(s.isNull(), 0.0).otherwise(PRESENTATION)
     combined: Column = (1 - share) * text + share * F.coalesce(style, F.lit(0.0))
-    return sums.where("texts is not null").select(
-        "site", "branch", F.col("texts").alias("pages"), "content", combined.alias("importance")
-    )
+    return sums.where("pages is not null").select("site", "branch", "pages", "content", combined.alias("importance"))
 
 
 def low_branches(trees: DataFrame) -> DataFrame:
-    """branch of what goes: low on enough pages, on a site that has an important branch too.
+    """branch, pages of what is low on enough pages, on a site that has an important branch too.
 
     A site on which everything repeats is one of copies, and says nothing of what is main text.
     """
     known = trees.where(F.col("content") & (F.col("pages") >= LEAST_PAGES))
     good = known.where(F.col("importance") >= 0.5).select("site").distinct()
-    return known.where(F.col("importance") < LOW).join(good, "site", "left_semi").select("branch").distinct()
+    return known.where(F.col("importance") < LOW).join(good, "site", "left_semi").select("site", "branch", "pages")
+
+
+def repeated_texts(features: DataFrame) -> DataFrame:
+    """key (block_key) of the texts that go: on a low branch, and of low importance themselves.
+
+    features are read several times and should be cut.
+    """
+    texts = features.where(F.col("kind") == TEXT).select("site", "branch", "feature", "n")
+    low = small_side(cut(low_branches(style_trees(features)), "low-branches"))
+    found = texts.join(low, ["site", "branch"])
+    repeats = 1 - F.log("n") / F.log("pages") < LOW
+    return found.where(repeats).select(F.col("branch").bitwiseXOR(F.col("feature")).alias("key")).distinct()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -127,7 +160,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined by a line feed, white space inside one is one space. Rows may repeat; an empty table
     gives no rows; other columns are ignored.
     """
-    low = cut(low_branches(style_trees(pages, url_col, html_col)), "low-branches")
+    features = cut(branch_features(pages, url_col, html_col), "branch-features")
+    low = cut(repeated_texts(features), "repeated-texts")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     few = low.limit(MOST_LOW + 1).count() <= MOST_LOW
     sent = np.sort(np.array([r[0] for r in low.collect()], np.int64)) if few else None
@@ -146,17 +180,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 pairs = {
-                    (p, branch_key(host_of(u), x.path))
+                    (p, block_key(host_of(u), x))
                     for p, u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
                     for x in parse(h).blocks
                     if not x.noise
                 }
                 if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["p", "branch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["p", "key"])
 
         kind = rows.schema["page_id"].dataType.simpleString()
-        own = rows.mapInArrow(branches, f"p {kind}, branch long").join(low, "branch", "left_semi")
-        own = own.groupBy("p").agg(F.collect_set("branch").alias("low"))
+        own = rows.mapInArrow(branches, f"p {kind}, key long").join(low, "key", "left_semi")
+        own = own.groupBy("p").agg(F.collect_set("key").alias("low"))
         rows = rows.join(own, F.col("page_id") == F.col("p"), "left").drop("p")
     schema = pages.select(F.col(id_col).alias("page_id")).schema.add("url", "string").add("text", "string")
     return rows.mapInArrow(texts, schema).withColumn("n_chars", F.length("text").cast("long"))
