@@ -71,6 +71,16 @@ def test_copies_keep_titles_and_repeated_lists_go(spark):
     assert all(got[300 + i] == f"Own {i}\nStory {i}" for i in range(20))
 
 
+def test_articles_keep_what_they_share(spark):
+    article = "<div class='top'>Our shop</div><article><h1>T {0}</h1><h2>Summary</h2><p>Story {0}</p><ul><li>Same</li></ul></article>"
+    bare = "<div class='top'>Our shop</div><div><p>Story {0}</p></div>"
+    for n in (7, 50):  # fewer and more than LEAST_PAGES
+        pages = [(i, "ex.com", article.format(i)) for i in range(n)] + [(100 + i, "ex.com", bare.format(i)) for i in range(n)]
+        got = extracted(spark, pages)
+        assert all(got[i] == f"T {i}\nSummary\nStory {i}\nSame" for i in range(n))
+        assert n < html_extract.LEAST_PAGES or all(got[100 + i] == f"Story {i}" for i in range(n))
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -6,7 +6,8 @@ its pages: what most pages repeat weighs little, however many texts a page has t
 presentation node's importance is the entropy of its styles (which elements it holds) over its
 pages. A branch's importance combines both. From branches of low importance the texts that
 repeat are removed from each page, as are elements that say they are no content; a text that few
-pages have stays, since nothing says that it is no content.
+pages have stays, since nothing says that it is no content. Within landmarks (article, main)
+only elements decide: what a host's articles share, as headings, is their text all the same.
 
 Pages send 8-byte hashes, which are summed before they are shuffled; html is never shuffled
 unless the repeated texts of all hosts together are too many to send to every task.
@@ -56,15 +57,16 @@ def block_key(host: str, block: Block) -> int:
     return branch_key(host, block.path) ^ _hash(block.text)
 
 
-def main_text(page: Page, host: str, low: np.ndarray) -> str:
-    """Blocks that no noise element holds and that aren't in low (repeated_texts), one a line.
-
-    If landmarks (article, main) hold any of them, only those count.
-    """
+def by_elements(page: Page) -> list[Block]:
+    """Blocks that no noise element holds; if landmarks hold any of them, only those."""
     blocks = [b for b in page.blocks if not b.noise]
-    if any(b.content for b in blocks):
-        blocks = [b for b in blocks if b.content]
-    if len(low) and blocks:
+    return [b for b in blocks if b.content] or blocks
+
+
+def main_text(page: Page, host: str, low: np.ndarray) -> str:
+    """Blocks left by_elements, one a line, without those outside landmarks in low (repeated_texts)."""
+    blocks = by_elements(page)
+    if len(low) and blocks and not blocks[0].content:
         keys = np.array([block_key(host, b) for b in blocks], np.int64)
         at = np.minimum(np.searchsorted(low, keys), len(low) - 1)
         blocks = [b for b, gone in zip(blocks, (low[at] == keys).tolist()) if not gone]
@@ -182,8 +184,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 pairs = {
                     (p, block_key(host_of(u), x))
                     for p, u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-                    for x in parse(h).blocks
-                    if not x.noise
+                    for x in by_elements(parse(h))
+                    if not x.content
                 }
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["p", "key"])
