@@ -49,6 +49,25 @@ def test_low_branches_may_be_joined(spark, monkeypatch):
     test_branches_that_repeat_go(spark)
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article class='post category-notice tag-sharing comment-open'><p>a</p></article><p>b</p>", ["a"]),
+        ("<article><h2 id='related-work'>Related work</h2><p>a</p><h2 id='search'>Search</h2></article>", ["Related work", "a", "Search"]),
+        ("<article><section id='search-algorithms'><p>a</p></section><div class='share'>s</div></article>", ["a"]),
+        ("<article><div class='post-sidebar-left'><p>a</p></div><div class='social-share'>s</div></article>", ["a"]),
+        ("<p>top</p><div class='post-sidebar-left'><article><p>a</p></article></div>", ["top", "a"]),
+        ("<div class='post-sidebar-left'><h1>t</h1><p>a</p></div><div class='sidebar'>s</div>", ["t", "a"]),
+        ("<div class='related-posts'><article>teaser</article></div><article><p>a</p></article>", ["a"]),
+        ("<div class='sidebar'><article>teaser</article></div><p>a</p><div class='post-comments'>c</div>", ["a"]),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", ["So x=2 holds"]),
+        ("<p><math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math></p>", ["x"]),
+    ],
+)
+def test_names_of_noise(html, want):
+    assert lines(html) == want
+
+
 def extracted(spark, pages):
     """Texts by page id; pages are (id, host, html)."""
     rows = [(i, f"https://{host}/{i}", html) for i, host, html in pages]

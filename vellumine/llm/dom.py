@@ -13,11 +13,14 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME = re.compile(r"[A-Za-z]+")
 
 #: Elements whose content is text up to their own end tag, none of it part of an article.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp svg math template".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp svg template annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr br".split()
+    "span strike strong sub sup time tt u var wbr br "
+    # of formulas; an annotation repeats the formula in another notation, which isn't shown
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Which open elements a start tag ends, up to the nearest of the elements that hold them.
 _ENDS = {
@@ -43,6 +46,9 @@ NOISE_NAMES = frozenset(
 )
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_ROLES = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How sure it is that an element is noise: its name only has a noise word among others, or more than that.
+DOUBT, NOISE = 1, 2
 _PREFIXES = ("has", "with", "without", "no", "is", "js")
 
 
@@ -50,9 +56,9 @@ _PREFIXES = ("has", "with", "without", "no", "is", "js")
 class Block:
     path: str
     text: str
-    #: Whether a landmark (article, main) or a noise element stands above it.
+    #: Whether a landmark (article, main) stands above it, and how sure (0, DOUBT, NOISE) an element of noise does.
     content: bool
-    noise: bool
+    noise: int
 
 
 @dataclass
@@ -60,7 +66,7 @@ class _Open:
     tag: str
     path: str
     content: bool
-    noise: bool
+    noise: int
     children: list[str] = field(default_factory=list)
 
 
@@ -76,21 +82,30 @@ def _names(attributes: dict[str, str]) -> list[list[str]]:
     return [[w.lower() for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", one))] for one in both]
 
 
-def _is_noise(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
+def _is_landmark(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in CONTENT_TAGS or attributes.get("role", "").lower() in CONTENT_ROLES
+
+
+def _noise(tag: str, attributes: dict[str, str], in_content: bool) -> int:
+    """0, DOUBT or NOISE. Names say nothing of landmarks and headings, which are named by their topics.
+
+    A name that holds other words too, as post-sidebar-left, leaves a doubt, and in a landmark none.
+    """
     if tag in NOISE_TAGS or tag == "header" and not in_content:
-        return True
+        return NOISE
     if attributes.get("role", "").lower() in NOISE_ROLES or attributes.get("aria-hidden") == "true":
-        return True
+        return NOISE
     if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+        return NOISE
+    if tag in ("html", "body") or tag in _HEADINGS or _is_landmark(tag, attributes):
+        return 0
+    found = 0
     for words in _names(attributes):
         if words and words[0] not in _PREFIXES:
             hits = NOISE_NAMES.intersection(words)
             if hits and not (in_content and hits <= {"header"}):
-                return True
-    return False
+                found = max(found, NOISE if hits.issuperset(words) else 0 if in_content else DOUBT)
+    return found
 
 
 def parse(page: str | None) -> Page:
@@ -99,7 +114,7 @@ def parse(page: str | None) -> Page:
     A quote in a tag that nothing closes ends with the tag, so the text after it is kept.
     """
     page = page or ""
-    stack = [_Open("#", "", False, False)]
+    stack = [_Open("#", "", False, 0)]
     blocks: list[Block] = []
     styles: list[tuple[str, str]] = []
     held: list[str] = []
@@ -109,7 +124,7 @@ def parse(page: str | None) -> Page:
         held.clear()
         if text:
             top = next(x for x in reversed(stack) if x.tag not in INLINE)
-            blocks.append(Block(top.path, text, top.content, any(x.noise for x in stack[-1:])))
+            blocks.append(Block(top.path, text, top.content, stack[-1].noise))
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
@@ -161,13 +176,13 @@ def parse(page: str | None) -> Page:
         if tag in VOID or m[3].rstrip().endswith("/") and inline:
             continue
         up = stack[-1]
-        noise = up.noise or _is_noise(tag, attributes, up.content)
-        if inline and noise and not up.noise:
+        noise = max(up.noise, _noise(tag, attributes, up.content))
+        if inline and noise > up.noise:
             flush()
         if inline:
             stack.append(_Open(tag, up.path, up.content, noise))
             continue
-        content = up.content or not noise and (tag in CONTENT_TAGS or attributes.get("role", "").lower() in CONTENT_ROLES)
+        content = up.content or noise < NOISE and _is_landmark(tag, attributes)
         name = "".join("." + "-".join(w) for w in _names(attributes) if w)
         holder = next(x for x in reversed(stack) if x.tag not in INLINE)
         if not holder.children or holder.children[-1] != tag:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_side
-from .dom import Block, Page, parse
+from .dom import NOISE, Block, Page, parse
 
 #: Pages a branch must be on before its entropy says anything.
 LEAST_PAGES = 8
@@ -58,18 +58,23 @@ def block_key(host: str, block: Block) -> int:
 
 
 def by_elements(page: Page) -> list[Block]:
-    """Blocks that no noise element holds; if landmarks hold any of them, only those."""
-    blocks = [b for b in page.blocks if not b.noise]
-    return [b for b in blocks if b.content] or blocks
+    """Blocks that no noise element holds; if landmarks hold any of them, only those.
+
+    Blocks in doubt go if others are left: where landmarks are all in doubt, what no doubt is
+    about stays beside them, since either may be the main text.
+    """
+    blocks = [b for b in page.blocks if b.noise < NOISE]
+    sure = [b for b in blocks if not b.noise]
+    return [b for b in sure if b.content] or [b for b in blocks if b.content or not b.noise] or blocks
 
 
 def main_text(page: Page, host: str, low: np.ndarray) -> str:
     """Blocks left by_elements, one a line, without those outside landmarks in low (repeated_texts)."""
     blocks = by_elements(page)
-    if len(low) and blocks and not blocks[0].content:
+    if len(low) and blocks:
         keys = np.array([block_key(host, b) for b in blocks], np.int64)
         at = np.minimum(np.searchsorted(low, keys), len(low) - 1)
-        blocks = [b for b, gone in zip(blocks, (low[at] == keys).tolist()) if not gone]
+        blocks = [b for b, gone in zip(blocks, (low[at] == keys).tolist()) if b.content or not gone]
     return "\n".join(b.text for b in blocks)
 
 
@@ -87,7 +92,7 @@ def branch_features(pages: DataFrame, url_col: str = "url", html_col: str = "htm
             for url, text in zip(b.column(0), b.column(1)):
                 host, page = host_of(url.as_py()), parse(text.as_py())
                 site = _hash(host)
-                kept = {x.path for x in page.blocks if not x.noise}
+                kept = {x.path for x in by_elements(page)}
                 keys = {path: branch_key(host, path) for path in {x.path for x in page.blocks}}
                 seen = {(keys[x.path], _hash(x.text), TEXT, x.path in kept) for x in page.blocks}
                 seen |= {(key, 0, ANY, path in kept) for path, key in keys.items()}
