@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import text as tx
 from vellumine.functions import vectors as vec
-from vellumine.operators import facets, matching, merging, ranking
+from vellumine.operators import facets, matching, merging, quality, ranking
+from vellumine.plans import catalogue
 from vellumine.sources import records, spreadsheet
 from vellumine.streaming import feeds
 
@@ -84,6 +85,29 @@ def test_rows_without_key_survive_first_wins(spark):
     assert sorted(r["n"] for r in ranking.first_wins(rows, "k", ["n"]).collect()) == [1, 3, 4]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rollups_collect_only_what_they_show(spark):
+    rows = spark.sql("SELECT if(id % 10 = 0, null, 'hot') k, if(id = 77, null, id % 500) s, id % 7 who FROM range(1000) UNION ALL SELECT 'none', null, 1")
+    got = quality.gaps(rows, ["k"], "who", "s")
+    assert "WindowGroupLimit" in plan_of(got) and "collect_set" not in plan_of(got)
+    want = {None: (100, 7, [0, 10, 20]), "hot": (900, 7, [1, 2, 3]), "none": (1, 1, [])}
+    assert {r["k"]: (r["n"], r["n_who"], r["samples"]) for r in got.collect()} == want
+    rollup = catalogue.QUERIES["q06_group_rollup"](spark, "/root/testdata/sf0.001")
+    assert "WindowGroupLimit" in plan_of(rollup)
+
+
+def test_memberships_equal_report(spark):
+    rows = spark.sql("SELECT id, if(id < 300, 'hot', if(id < 310, null, cast(id div 3 as string))) k, id % 5 r FROM range(400) UNION ALL SELECT 1, 'hot', 1")
+    got = merging.memberships(rows, "k", "id", [F.col("r")])
+    assert "collect" not in plan_of(got) and "Generate" not in plan_of(got)
+    report = merging.duplicate_report(rows, "k", "id", [F.col("r")]).select(F.explode("ids").alias("id"), "winner")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, report.collect()))
+    assert "collect" not in plan_of(catalogue.QUERIES["q38_repoint"](spark, "/root/testdata/sf0.001"))
+
+
 def test_envelope_and_json_ld(spark):
     rows = spark.createDataFrame([(1, '{"data":{"items":[{"id":7,"t":"A"},{"id":8}]}}'), (2, "no json")], "p int, body string")
     got = records.envelope(rows, "body", "$.data.items", {"id": "$.id", "title": "$.t"}).collect()

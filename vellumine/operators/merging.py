@@ -67,7 +67,10 @@ def completeness(*columns: Column) -> Column:
 
 
 def duplicate_report(rows: DataFrame, key: str, id_col: str, rank: list[Column]) -> DataFrame:
-    """Groups of two or more: winner (greatest rank, then id), sorted ids, size."""
+    """Groups of two or more: winner (greatest rank, then id), sorted ids, size.
+
+    A group's ids are one value, so they must fit a row; memberships gives them as rows.
+    """
     out = rows.groupBy(key).agg(
         F.max_by(id_col, F.struct(*rank, F.col(id_col))).alias("winner"),
         F.array_sort(F.collect_set(id_col)).alias("ids"),
@@ -76,6 +79,18 @@ def duplicate_report(rows: DataFrame, key: str, id_col: str, rank: list[Column])
     return out.where("n > 1")
 
 
+def memberships(rows: DataFrame, key: str, id_col: str, rank: list[Column]) -> DataFrame:
+    """id_col and winner (as in duplicate_report) of every row in a group of two or more, without arrays.
+
+    The join is null-safe (a null key is one group), and so shuffles apart from the aggregate:
+    a hot group's rows can be split.
+    """
+    winner = F.max_by(id_col, F.struct(*rank, F.col(id_col)))
+    groups = rows.groupBy(F.col(key).alias("__key")).agg(winner.alias("winner"), F.count("*").alias("__n")).where("__n > 1")
+    members = rows.select(F.col(key), F.col(id_col)).where(F.col(id_col).isNotNull())
+    return members.join(groups, F.col(key).eqNullSafe(F.col("__key"))).select(id_col, "winner").distinct()
+
+
 def repointed(references: DataFrame, winners: DataFrame, id_col: str, unique: list[str]) -> DataFrame:
     """References moved to their group's winner (id_col, winner); what then repeats goes."""
     moved = references.join(winners, id_col, "left").withColumn(id_col, F.coalesce("winner", id_col)).drop("winner")

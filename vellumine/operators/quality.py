@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_top_values
+
 ACCEPT, FALLBACK, SKIP = "ACCEPT", "FALLBACK", "SKIP"
 
 
@@ -22,11 +24,9 @@ def gate(rows: DataFrame, keys: list[str], problems: dict[str, Column], stale: C
 
 def gaps(failures: DataFrame, keys: list[str], who: str, sample: str, k: int = 3) -> DataFrame:
     """Failures per key: n, distinct who, the k smallest samples."""
-    return failures.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count_distinct(who).alias("n_who"),
-        F.slice(F.array_sort(F.collect_set(sample)), 1, k).alias("samples"),
-    )
+    groups = failures.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(who).alias("n_who"))
+    samples = failures.where(F.col(sample).isNotNull()).select(*keys, sample).distinct()
+    return with_top_values(groups, samples, keys, sample, [F.col(sample)], k, "samples")
 
 
 def failure_kind(message: Column, kinds: dict[str, str], other: str = "OTHER") -> Column:

@@ -34,10 +34,18 @@ def latest_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__key")).agg(row).select("row.*")
 
 
-def top_values(value: str, order: list[Column], k: int) -> Column:
-    """Aggregate: the values of the first k rows in order (structs sort by `order`)."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    return F.transform(F.slice(rows, 1, k), lambda r: r["__v"])
+def with_top_values(
+    groups: DataFrame, rows: DataFrame, keys: list[str], value: str, order: list[Column], k: int, name: str
+) -> DataFrame:
+    """groups (a row per key) with the array of values of each key's first k rows, empty if it has none.
+
+    Only those k rows are collected. A null key is a key like any other.
+    """
+    values = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(value).alias("__v")))), lambda r: r["__v"])
+    lists = top_of_each(rows, keys, order, k).groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(values.alias("__values"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    found = F.coalesce("__values", F.array().cast(lists.schema["__values"].dataType))
+    return groups.join(lists, same, "left").select(*groups.columns, found.alias(name))
 
 
 def running_sum(rows: DataFrame, key: str, value: str, order: list[str], name: str = "balance") -> DataFrame:

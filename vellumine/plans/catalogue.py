@@ -64,13 +64,14 @@ def q05_left_join_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q06_group_rollup(spark: SparkSession, d: str) -> DataFrame:
-    newest = -F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    return _t(spark, d, "orders").groupBy("o_custkey").agg(
+    orders = _t(spark, d, "orders")
+    groups = orders.groupBy("o_custkey").agg(
         F.count("*").alias("n"),
         F.max("o_orderdate").alias("newest"),
         F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"),
-        ranking.top_values("o_orderpriority", [newest.alias("at"), F.col("o_orderkey")], 3).alias("top_priorities"),
     )
+    order = [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey")]
+    return ranking.with_top_values(groups, orders, ["o_custkey"], "o_orderpriority", order, 3, "top_priorities")
 
 
 def q07_pool_count_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -291,18 +292,19 @@ def q36_merge_policy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-def _copies(spark: SparkSession, d: str) -> DataFrame:
+def _hashed(spark: SparkSession, d: str) -> tuple[DataFrame, list[Column]]:
     docs = _t(spark, d, "documents").withColumn("h", F.md5("text"))
-    full = merging.completeness(F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.col("source"))
-    return merging.duplicate_report(docs, "h", "doc_id", [full])
+    return docs, [merging.completeness(F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.col("source"))]
 
 
 def q37_duplicate_report(spark: SparkSession, d: str) -> DataFrame:
-    return _copies(spark, d)
+    docs, full = _hashed(spark, d)
+    return merging.duplicate_report(docs, "h", "doc_id", full)
 
 
 def q38_repoint(spark: SparkSession, d: str) -> DataFrame:
-    winners = _copies(spark, d).select(F.explode("ids").alias("doc_id"), "winner")
+    docs, full = _hashed(spark, d)
+    winners = merging.memberships(docs, "h", "doc_id", full)
     refs = _t(spark, d, "labels").select("doc_id", "quality")
     return merging.repointed(refs, winners, "doc_id", ["doc_id", "quality"])
 
