@@ -1,9 +1,17 @@
+import functools
+import re
+import zlib
+from collections import Counter
+
 import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
 import pytest
 from compare import DATA
 
 import corpus_pipeline
-from vellumine.llm import html_extract, language_id, mixing, sharding
+from vellumine.llm import html_extract, language_id, mixing, sentencepiece_viterbi, sharding, simhash, sql
 from vellumine.llm.dom import parse
 
 
@@ -181,3 +189,54 @@ def test_pipeline_run_against_plain_steps(spark):
     for r in got:
         n[r["doc_id"]] = n.get(r["doc_id"], 0) + 1
     assert max(n.values()) <= 3
+
+
+def best_scores(m):
+    """Plain Viterbi: the best score of a word."""
+    pieces = {m.text[i]: m.score[i] for ids in m.keys.values() for i in ids[1].tolist()}
+
+    @functools.cache
+    def best(word):
+        at = [0.0] + [-np.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            for k in range(max(0, end - m.longest), end):
+                at[end] = max(at[end], at[k] + pieces.get(word[k:end], m.unknown_score if end - k == 1 else -np.inf))
+        return at[-1]
+
+    return best
+
+
+def test_pipeline_run_equals_plain_steps(spark):
+    got = corpus_pipeline.run(spark, str(DATA)).collect()
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{DATA}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    texts = {i: t for i, t, _, _ in rows}
+    bundles = {i: language_id.bundle(*np.unique(language_id.grams(t), return_counts=True)) for i, t in texts.items()}
+    profiles = {}
+    for i, _, lang, _ in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            profiles[lang] = profiles.get(lang, 0) + bundles[i]
+    known = {i for i, t in texts.items() if any(map(str.isalpha, t)) and max(p @ bundles[i] for p in profiles.values()) > 0}
+    exact = {}
+    for i in sorted(known, key=lambda i: (-len(texts[i]), i)):
+        exact.setdefault(re.sub(r"[\x20\x09-\x0D]", "", texts[i]), i)
+    prints = {i: simhash.fingerprint(texts[i]) for i in exact.values()}
+    root = {i: i for i in prints}
+    changed = True
+    while changed:
+        near = [(i, min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3)) for i in prints]
+        changed = any(root[i] != r for i, r in near)
+        root.update(near)
+    documents = pd.DataFrame([r for r in rows if root.get(r[0]) == r[0]], columns=["doc_id", "text", "lang", "source"])
+    mix = duckdb.connect().register("documents", documents).sql(sql.MIXING).fetchall()
+    want = Counter({r[0]: r[4] // r[1] for r in mix if r[4]})
+    assert Counter(r["doc_id"] for r in got) == want
+    m = sentencepiece_viterbi.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    best, byte_of = best_scores(m), {i: b for b, i in m.byte_id.items()}
+
+    def score(i):  # a character that is no piece has its bytes' ids, and the unknown score once
+        return m.score[i] if i not in byte_of else m.unknown_score if byte_of[i] & 0xC0 != 0x80 else 0
+
+    for r in {r["doc_id"]: r for r in got}.values():
+        assert m.decode(list(r["ids"])) == texts[r["doc_id"]]
+        words = re.findall("▁+[^▁]*", "▁" + texts[r["doc_id"]].replace(" ", "▁"))
+        assert sum(map(score, r["ids"])) == pytest.approx(sum(map(best, words)))
