@@ -1,6 +1,6 @@
 """Language ID with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A letter n-gram is the product (binding) of its
+Each letter has a random vector of +1 and -1; letters above U+024F share 432 of them by a hash. A letter n-gram is the product (binding) of its
 letters' vectors, each rotated (permuted) by its place; a document or a language is the sum
 (bundle) of its n-grams' vectors, and the language whose profile has the largest cosine with
 the document's vector is predicted. Sums are linear, so n-grams are counted first and each
@@ -167,8 +167,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def drop_undetermined(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0
 ) -> DataFrame:
-    """docs without those that have no letter, or no n-grams like any learned language's.
+    """docs without those that have no letter, or no positive cosine with any language.
 
+    Text unlike every learned language has cosines that are noise round 0, so the default
+    `least` doesn't reliably reject it: only `und` is rejected with certainty.
     A document goes if its lang_pred is `und` or its score isn't above `least`. All columns of
     the rows that stay are unchanged; nothing is shuffled.
     """
