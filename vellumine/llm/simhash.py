@@ -129,6 +129,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group (the one with the smallest id); all columns stay.
 
+    Near means as in op2: three-word shingles and MOST_BITS of 64 bits, not a given similarity.
     Rows with a null id stay. Rows that share an id stay or go together.
     """
     groups = near_groups(docs, id_col, text_col)
