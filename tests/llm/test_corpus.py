@@ -15,10 +15,8 @@ from vellumine.llm import html_extract, language_id, mixing, sentencepiece_viter
 from vellumine.llm.dom import parse
 
 
-def lines(html, low=()):
-    import numpy as np
-
-    return html_extract.main_text(parse(html), "h", np.array(sorted(low), np.int64)).split("\n")
+def lines(html):
+    return "\n".join(b.text for b in html_extract.by_elements(parse(html))).split("\n")
 
 
 @pytest.mark.parametrize(
@@ -52,8 +50,8 @@ def test_branches_that_repeat_go(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
-def test_low_branches_may_be_joined(spark, monkeypatch):
-    monkeypatch.setattr(html_extract, "MOST_LOW", 0)
+def test_what_goes_may_be_joined(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "MOST_GONE", 0)
     test_branches_that_repeat_go(spark)
 
 
@@ -88,14 +86,14 @@ def test_copies_keep_titles_and_repeated_lists_go(spark):
     pages += [(100 + i, "two.com", copy.replace("Title", f"Title {i % 2}").replace("Par", f"{i % 2} par")) for i in range(40)]
     items = "<ul>" + "".join(f"<li>Item {k}</li>" for k in range(30)) + "</ul>"
     pages += [(200 + i, "list.com", f"{items}<div><p>Story {i}</p><p>End {i}</p></div>") for i in range(20)]
-    # unlike the list's items, the one item that only this page has stays
-    pages += [(300 + i, "own.com", items[:-5] + f"<li>Own {i}</li></ul><div><p>Story {i}</p></div>") for i in range(20)]
+    # a branch goes whole, with the one item that only this page has
+    pages += [(300 + i, "own.com", items[:-5] + f"<li>Own {i}</li></ul><div><p>Story {i} and what became of it</p></div>") for i in range(20)]
     got = extracted(spark, pages)
     text = "\n".join(["Title", *(f"Paragraph {k}" for k in range(12))])
     assert all(got[i] == text for i in range(10))
     assert all(got[100 + i].startswith(f"Title {i % 2}\n") and got[100 + i].count("\n") == 12 for i in range(40))
     assert all(got[200 + i] == f"Story {i}\nEnd {i}" for i in range(20))
-    assert all(got[300 + i] == f"Own {i}\nStory {i}" for i in range(20))
+    assert all(got[300 + i] == f"Story {i} and what became of it" for i in range(20))
 
 
 def test_articles_keep_what_they_share(spark):

@@ -1,11 +1,19 @@
-"""Text blocks of an HTML page with the style path on which each lies."""
+"""Text blocks of an HTML page with the node of its site's tree on which each lies.
+
+A node is known by a hash of its parent's and its own tag and names, so that a page takes time
+and memory in proportion to its length however deep its elements nest.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
+import xxhash
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:[\"'][^>]*)?>?|<[!?][^>]*>?", re.S
 )
@@ -52,29 +60,62 @@ DOUBT, NOISE = 1, 2
 _PREFIXES = ("has", "with", "without", "no", "is", "js")
 
 
-@dataclass
+#: Elements nested deeper than this share the node of the one that holds them.
+MOST_DEPTH = 32
+#: Labels above readers' comments; of the words for answers only with their number.
+_COMMENTS = re.compile(
+    r"(?:(?:reader |all )?(?:\d+ )?(?:comments?|kommentare?|commentaires?|comentarios?|commenti|reacties)|\d+ (?:repl(?:y|ies)|responses?)"
+    r"|(?:leave|post|write|add) a (?:comment|reply))\W*(?:\d+\W*)?",
+    re.I,
+)
+_LABEL_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 legend summary header hgroup strong".split())
+
+
+@dataclass(slots=True)
 class Block:
-    path: str
+    node: int  # position in Page.keys
     text: str
     #: Whether a landmark (article, main) stands above it, and how sure (0, DOUBT, NOISE) an element of noise does.
     content: bool
     noise: int
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    path: str
+    node: int
+    holder: int  # position in the stack of the nearest element that isn't inline, itself included
     content: bool
     noise: int
-    children: list[str] = field(default_factory=list)
+    blocks: int = 0  # of the page when it was opened
+    children: list[str] | None = None
 
 
 @dataclass
 class Page:
-    blocks: list[Block]
-    #: Style path of each element that holds blocks, with the tags it holds, one after another.
-    styles: list[tuple[str, str]]
+    root: int
+    blocks: list[Block] = field(default_factory=list)
+    #: Of each node: its key, its parent's position (-1: none) and its depth.
+    keys: list[int] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    depths: list[int] = field(default_factory=list)
+    #: Node of each element that holds others, with their tags, one after another.
+    styles: list[tuple[int, str]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.keys, self.parents, self.depths = [self.root], [-1], [0]
+
+    def node(self, parent: int, name: str) -> int:
+        if self.depths[parent] >= MOST_DEPTH:
+            return parent
+        self.keys.append(child_key(self.keys[parent], name))
+        self.parents.append(parent)
+        self.depths.append(self.depths[parent] + 1)
+        return len(self.keys) - 1
+
+
+def child_key(parent: int, name: str) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), parent)
 
 
 def _names(attributes: dict[str, str]) -> list[list[str]]:
@@ -108,29 +149,51 @@ def _noise(tag: str, attributes: dict[str, str], in_content: bool) -> int:
     return found
 
 
-def parse(page: str | None) -> Page:
+def parse(page: str | None, root: int = 0) -> Page:
     """Blocks in page order; text in no element, or in elements never closed, counts too.
 
-    A quote in a tag that nothing closes ends with the tag, so the text after it is kept.
+    root: the key of the tree's root. A quote in a tag that nothing closes ends with the tag, so
+    the text after it is kept. An element outside whose first text is a label of readers'
+    comments is noise with all it holds.
     """
-    page = page or ""
-    stack = [_Open("#", "", False, 0)]
-    blocks: list[Block] = []
-    styles: list[tuple[str, str]] = []
+    page, out = page or "", Page(root)
+    stack = [_Open("#", 0, 0, False, 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    sections: list[int] = []  # those of _SECTIONS
     held: list[str] = []
+    blocks = out.blocks
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            top = next(x for x in reversed(stack) if x.tag not in INLINE)
-            blocks.append(Block(top.path, text, top.content, stack[-1].noise))
+            top = stack[stack[-1].holder]
+            if len(text) < 48 and _COMMENTS.fullmatch(text):
+                mark_comments(top)
+            blocks.append(Block(top.node, text, top.content, stack[-1].noise))
+
+    def mark_comments(top: _Open) -> None:
+        at = top.holder
+        if top.tag in _LABEL_TAGS and at:
+            at = stack[at - 1].holder
+        box = stack[at]
+        if at and box.blocks == len(blocks) and box.tag not in ("html", "body", "main", "article") and not places["h1"]:
+            for x in stack[at:]:
+                x.noise = NOISE
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
             x = stack.pop()
+            places[x.tag].pop()
+            if sections and sections[-1] == len(stack):
+                sections.pop()
             if x.children:
-                styles.append((x.path, " ".join(x.children)))
+                out.styles.append((x.node, " ".join(x.children)))
+
+    def first_above(tags: set[str], limit: int) -> int:
+        """Place of the outermost open element of the tags above a place, 0 if none."""
+        found = (p[k] for p in map(places.__getitem__, tags) if (k := bisect_right(p, limit)) < len(p))
+        return min(found, default=0)
 
     at = 0
     while True:
@@ -149,23 +212,21 @@ def parse(page: str | None) -> Page:
         if not inline:
             flush()
         if m[1]:
-            where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if inline and any(x.tag in _SECTIONS for x in stack[where + 1 :]):
+            where = places[tag][-1] if tag in places and places[tag] else 0
+            if inline and sections and sections[-1] > where:
                 where = 0
             if where:
-                if any(x.noise != stack[where - 1].noise for x in stack[where:]):
+                if inline and any(x.noise != stack[where - 1].noise for x in stack[where:]):
                     flush()
                 close(where)
             continue
         if tag == "p" or tag in _SECTIONS and tag != "li":
-            limit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in _SECTIONS or not k), 0)
-            where = next((k for k in range(limit + 1, len(stack)) if stack[k].tag == "p"), 0)
+            where = first_above({"p"}, sections[-1] if sections else 0)
             if where:
                 close(where)
         if tag in _ENDS:
             ends, holders = _ENDS[tag]
-            limit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in holders or not k), 0)
-            where = next((k for k in range(limit + 1, len(stack)) if stack[k].tag in ends), 0)
+            where = first_above(ends, max((places[h][-1] for h in holders if places[h]), default=0))
             if where:
                 close(where)
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
@@ -177,17 +238,26 @@ def parse(page: str | None) -> Page:
             continue
         up = stack[-1]
         noise = max(up.noise, _noise(tag, attributes, up.content))
-        if inline and noise > up.noise:
-            flush()
         if inline:
-            stack.append(_Open(tag, up.path, up.content, noise))
-            continue
-        content = up.content or noise < NOISE and _is_landmark(tag, attributes)
-        name = "".join("." + "-".join(w) for w in _names(attributes) if w)
-        holder = next(x for x in reversed(stack) if x.tag not in INLINE)
-        if not holder.children or holder.children[-1] != tag:
-            holder.children.append(tag)
-        stack.append(_Open(tag, f"{holder.path}/{tag}{name}", content, noise))
+            if noise > up.noise:
+                flush()
+            new = _Open(tag, up.node, up.holder, up.content, noise, len(blocks))
+        else:
+            content = up.content or noise < NOISE and _is_landmark(tag, attributes)
+            name = "".join("." + "-".join(w) for w in _names(attributes) if w) if attributes else ""
+            holder = stack[up.holder]
+            if holder.children is None:
+                holder.children = []
+            if not holder.children or holder.children[-1] != tag:
+                holder.children.append(tag)
+            new = _Open(tag, out.node(holder.node, tag + name), len(stack), content, noise, len(blocks))
+            if tag in _SECTIONS:
+                sections.append(len(stack))
+        places[tag].append(len(stack))
+        stack.append(new)
     flush()
-    close(0)
-    return Page(blocks, styles)
+    while len(stack) > 1:
+        close(1)
+    if stack[0].children:
+        out.styles.append((0, " ".join(stack[0].children)))
+    return out
