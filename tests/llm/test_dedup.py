@@ -116,3 +116,19 @@ def test_near_vectors(spark):
         assert all(got[n + k]["n_links"] == 0 and got[n + k]["kept"] for k in range(len(odd)))
         assert got[None]["component_id"] is None and got[None]["n_links"] == close[n].sum() - 1
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """1500 pairs at a cosine of 0.9501 under the production parameters; the docstring says 0.994."""
+    rng = np.random.default_rng(11)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((1500, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9501 * a + np.sqrt(1 - 0.9501**2) * b
+    below = 0.9499 * a[:300] + np.sqrt(1 - 0.9499**2) * -b[:300]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, near, below]))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[i] > 0 for i in range(1500)) >= 0.985 * 1500
+    assert all(got[i] == got[1500 + i] <= 1 for i in range(1500)) and not any(got[3000 + i] for i in range(300))
