@@ -4,9 +4,10 @@ A document's key is exponential, -ln(u) / quality, with u from a digest of its i
 seed. A source's target is met by complete passes over it, then by the documents with the
 smallest keys whose sizes, summed in key order, come nearest to the rest of the budget.
 
-The sums need no sort of a whole source: keys fall into BINS bins by exp(-key), bin sums are
-pre-aggregated and summed along each source (BINS rows), and only the documents of the one
-bin where the budget ends are sorted, a BINS-th of the source or so.
+The sums need no sort of a whole source: keys fall into bins by their logarithm, bin sums are
+pre-aggregated and summed along each source, and only the documents of the one bin where the
+budget ends are sorted. The logarithm of an exponential key has a density of 1/e at most,
+whatever the quality, so a bin holds about a 10 000th of a source and no bin is hot.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from .common import ASCII_WORD, cut, small_side
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 SEED = "mix-1"
+#: Bins of a unit of a key's logarithm.
 BINS = 4096
+#: Bounds of quality; what is null, NaN or not positive has the lower one and comes last.
+LEAST_QUALITY, MOST_QUALITY = 1e-6, 1e6
 
 
 def letter_share(text: Column) -> Column:
@@ -37,6 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ti
     weight; what exceeds most_times a source's size is shared anew until no target is above.
     That is target = least(cap, level * weight), where the level is the largest of
     (total - caps of the sources before) / weights of the others in the order of cap / weight.
+    One task sorts the table of sources (not documents), a row each.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -67,20 +72,25 @@ def mix(
 
     size counts the words `[^\\x20\\x09-\\x0D]+` (null text: 0); taken = copies * size. Every
     document is taken floor(target / source_size) times, and once more if with it the words of
-    its source come nearer to the target. Equal keys are ordered by id and size, null ids
-    last; a rerun takes the same documents. A source without words has target 0 and copies 1.
+    its source come nearer to the target; documents without words only with complete passes.
+    Equal keys are ordered by id and size, null ids last; a rerun takes the same documents. A
+    source without words has target 0 and copies 1. quality: a positive number; null, NaN and
+    what isn't positive come after all others, in the order of their keys.
     An empty table gives no rows; other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     digest = F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    weight = letter_share(text) if quality is None else quality.cast("double")
+    weight = F.coalesce(F.when(~F.isnan(weight), weight), F.lit(0.0))
+    weight = F.least(F.greatest(weight, F.lit(LEAST_QUALITY)), F.lit(MOST_QUALITY))
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(ASCII_WORD)), F.lit(0)).cast("long").alias("size"),
-        (-F.log(u) / (letter_share(text) if quality is None else quality)).alias("key"),
+        (-F.log(u) / weight).alias("key"),
     )
-    sizes = cut(sizes.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BINS)), "mix-sizes")
+    sizes = cut(sizes.withColumn("bin", F.floor(F.log("key") * BINS)), "mix-sizes")
     targets = cut(source_targets(sizes, weights, most_times), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
     plan = targets.withColumn("epochs", epochs).withColumn(
@@ -98,14 +108,15 @@ def mix(
     edge = cut(edge.withColumnRenamed("source", "edge_of"), "mix-edges")
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("edge_of")), "left").select(
         F.col("source").alias("of"), "source_size", "target", "epochs", "rest",
-        F.coalesce("edge", F.lit(BINS + 1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"),
+        # no edge: the rest holds all documents
+        F.coalesce("edge", F.lit((1 << 62))).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"),
     )
     rows = sizes.join(small_side(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     order = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     prior = F.col("before") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     at_edge = rows.where("bin = edge").withColumn("more", (prior * 2 + F.col("size") <= F.col("rest") * 2).cast("int"))
     others = rows.where("bin != edge").withColumn("more", (F.col("bin") < F.col("edge")).cast("int"))
-    copies = (F.col("epochs") + F.when(F.col("source_size") > 0, F.col("more")).otherwise(0)).cast("long")
+    copies = (F.col("epochs") + F.when(F.col("size") > 0, F.col("more")).otherwise(0)).cast("long")
     out = at_edge.unionByName(others).withColumn("copies", copies)
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
