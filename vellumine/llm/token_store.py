@@ -25,7 +25,7 @@ END = 0
 #: Ids a block holds, unless one document has more.
 BLOCK_IDS = 1 << 18
 #: Bytes of text that are cut up at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 BLOCK = "part int, start_in_part long, n_ids long, docs binary, lengths binary, control binary, data binary"
 #: Byte lengths of the four ids of each control byte.
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -99,8 +99,9 @@ def write_tokens(
 ) -> None:
     """Encodes every whole text and writes `path`/blocks and `path`/ranks.
 
-    Null text is empty; each document ends with id END. Documents with a null id come first,
-    those that share an id in any order next to each other. An empty table writes no blocks.
+    Null text is empty; each document ends with id END. Documents with a null id come first;
+    those that share an id stand next to each other, in the order of a digest of their ids, so
+    reruns agree. An empty table writes no blocks.
     """
     spark = docs.sparkSession
     ids = cut(encode_ids(docs, tokenizer_path, id_col, text_col), "token-ids")
@@ -133,9 +134,10 @@ def write_tokens(
             yield block()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    in_order = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    in_order = in_order.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    in_order.mapInArrow(blocks, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    # rows without an id, or with one, may be many: the digest of their ids lets ranges part them
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    in_order = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    in_order.select("doc_id", "ids").mapInArrow(blocks, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     rows = [(int(r), int(i)) for r, i in enumerate(by_rank)]
     spark.createDataFrame(rows, "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
 
