@@ -1,11 +1,12 @@
 """Language ID with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1; letters above U+024F share 432 of them by a hash. A letter n-gram is the product (binding) of its
-letters' vectors, each rotated (permuted) by its place; a document or a language is the sum
-(bundle) of its n-grams' vectors, and the language whose profile has the largest cosine with
-the document's vector is predicted. Sums are linear, so n-grams are counted first and each
-distinct n-gram of a batch is bound once. Training sends one fixed-size sum per language and
-task.
+Each letter has a random vector of +1 and -1; letters above U+024F share 432 of them by a hash.
+A letter n-gram is the product (binding) of its letters' vectors, each rotated (permuted) by its
+place; a document or a language is the sum (bundle) of its n-grams' vectors, and the language
+whose profile has the largest cosine with the document's vector is predicted. Sums are linear,
+so n-grams are counted first and each distinct n-gram of a batch is bound once, some thousand at
+a time. Vectors are whole numbers below 2**53, so sums are exact in any order. Training sends
+one fixed-size sum per language and task.
 """
 
 from __future__ import annotations
@@ -69,14 +70,31 @@ def bound(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def bundle(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sum of the n-grams' vectors, each times its count."""
+def bundle(keys: np.ndarray, counts: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Sum of the n-grams' vectors, each times its count; _GRAMS of them are held at a time.
+
+    known: sorted n-grams, among them all of keys, with their vectors. All sums are of whole
+    numbers: in single precision where they stay below 2**24, so both precisions are exact.
+    """
     total = np.zeros(DIMENSIONS)
     for at in range(0, len(keys), _GRAMS):
-        total += counts[at : at + _GRAMS].astype(np.float64) @ bound(keys[at : at + _GRAMS]).astype(np.float64)
+        k, n = keys[at : at + _GRAMS], counts[at : at + _GRAMS]
+        vectors = bound(k) if known is None else known[1][np.searchsorted(known[0], k)]
+        kind = np.float32 if n.sum() < 1 << 24 else np.float64
+        total += n.astype(kind) @ vectors.astype(kind)
     return total
 
 
+def bundles(counted: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The bundle of each document's n-grams; those that documents share are bound once."""
+    distinct = np.unique(np.concatenate([k for k, _ in counted])) if counted else np.zeros(0, np.int64)
+    if len(distinct) > 16 * _GRAMS and len(counted) > 1:
+        half = len(counted) // 2
+        return bundles(counted[:half]) + bundles(counted[half:])
+    known = (distinct, bound(distinct)) if len(distinct) <= 16 * _GRAMS else None
+    return [bundle(k, n, known) for k, n in counted]
+
+
 def profiles(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dict[str, np.ndarray]:
     """Profile of every label: the bundle of all n-grams of all its texts, of length one.
 
@@ -121,21 +139,13 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str], text
             texts = b.column(b.num_columns - 1)
             for at in range(0, b.num_rows, _DOCS):
                 some = [t.as_py() or "" for t in texts.slice(at, _DOCS)]
-                counted = [np.unique(grams(t), return_counts=True) for t in some]
-                all_keys = np.unique(np.concatenate([k for k, _ in counted]))
-                table = bound(all_keys) if len(all_keys) <= 16 * _GRAMS else None
-                for text, (keys, counts) in zip(some, counted):
-                    if not len(keys) or not names or not any(map(str.isalpha, text)):
+                for text, v in zip(some, bundles([np.unique(grams(t), return_counts=True) for t in some])):
+                    size = np.sqrt((v * v).sum())
+                    if not size or not names or not any(map(str.isalpha, text)):
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    if table is None:
-                        v = bundle(keys, counts)
-                    else:
-                        v = counts.astype(np.float32) @ table[np.searchsorted(all_keys, keys)].astype(np.float32)
-                        v = v.astype(np.float64)
-                    size = np.sqrt((v * v).sum())
-                    cosines = matrix @ v / size if size else np.zeros(len(names))
+                    cosines = matrix @ v / size
                     best = int(cosines.argmax())
                     langs.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
