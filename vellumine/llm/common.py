@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster (spark.checkpoint.dir).
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where the session names none (tests on one machine) a folder is made here.
+    Only where the session names none and all of it runs on one machine a folder is made here.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (base or _own_folder()).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +53,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, folder: str | None = None) -> bool:
+    """Deletes all tables that operators wrote to the scratch folder; results not yet written are lost.
+
+    Returns whether there was anything. Only names that scratch_path makes are deleted.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder or scratch_folder(spark)}/*-{'[0-9a-f]' * 32}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(path) or []
+    return any([files.delete(f.getPath(), True) for f in found])
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small, else df: the join then shuffles
     and adaptive execution splits its skewed partitions. df must be cheap to read twice."""

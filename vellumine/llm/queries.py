@@ -23,6 +23,8 @@ from . import (
 from .common import table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+#: Bytes of a shard of the query; sharding.LIMIT, a file's usual size, would leave its small tables whole.
+SHARD_BYTES = 1 << 20
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +55,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the path with the largest sum of scores (the unigram rule, by Viterbi).
+
+    The public model is a BPE one, whose own rule merges greedily, so these ids are NOT those of
+    the sentencepiece library under this file: use them only with models trained on them. They
+    decode to the text either way.
+    """
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_viterbi.encode(docs, public_tokenizers.path(PIECES), ["doc_id"])
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "depth", "shard", "shard_bytes")
+    shards = sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    return shards.select("doc_id", "n_bytes", "depth", "shard", "shard_bytes")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """SentencePiece encoding and decoding by batched Viterbi.
 
+Paths have the largest sum of the pieces' scores, as the unigram algorithm has it. Of a BPE
+model file the library's own ids differ, since it merges greedily; both decode to the text.
+
 Pieces never hold a word mark after another character, so the best path of a text is those of
 its words one after another. The distinct words of a batch that are equally long advance
 together: hashes of all their substrings probe the sorted hashes of the pieces of each length,
@@ -25,6 +28,8 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of a group of words that advance together, and words a worker remembers.
 _CELLS, MEMO = 60_000, 300_000
+#: What a model's normaliser must leave as it is, but for the marks: wide, composed and odd characters, runs of spaces.
+_PROBE = "Ａ ﬁ é e\u0301  ①\tÇ\nｶﾞ \u00a0x"
 #: Fixed value of the public unigram algorithm: how far below the lowest score an unknown is.
 UNKNOWN_BELOW = 10.0
 
@@ -35,12 +40,18 @@ def _codes(words: list[str], length: int) -> np.ndarray:
 
 class Model:
     """Pieces of a SentencePiece model file with their scores, as the unigram algorithm uses
-    them. Only normal pieces take part in paths; a character without a piece becomes bytes."""
+    them. Only normal pieces take part in paths; a character without a piece becomes bytes.
+
+    Raises ValueError for a file whose normaliser changes more than spaces, or with a piece that
+    has a word mark after another character: texts couldn't be encoded word by word.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize(_PROBE) != MARK + _PROBE.replace(" ", MARK):
+            raise ValueError(f"{path}: its normaliser changes texts")
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
@@ -49,6 +60,8 @@ class Model:
         byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown_id = sp.unk_id()
         normal = [i for i in range(n) if not special[i]]
+        if any(MARK in self.text[i].lstrip(MARK) for i in normal):
+            raise ValueError(f"{path}: a piece has a word mark inside")
         self.unknown_score = self.score[normal].min() - UNKNOWN_BELOW
         by_length: dict[int, list[int]] = defaultdict(list)
         for i in normal:

@@ -78,7 +78,7 @@ WITH d AS (
 ), fits AS (
   SELECT p.doc_id, p.n_bytes, p.depth, p.prefix, s.shard_bytes,
          row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS rn
-  FROM deep p JOIN sums s ON p.depth = s.depth AND p.prefix = s.prefix WHERE s.shard_bytes <= 67108864
+  FROM deep p JOIN sums s ON p.depth = s.depth AND p.prefix = s.prefix WHERE s.shard_bytes <= 1048576
 )
 SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes
 FROM fits WHERE rn = 1

@@ -77,10 +77,10 @@ def count_tokens(
 
     # one text a key: the row of its smallest id, which spreads copies' keys evenly
     ours = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("d"))
-    once = texts.join(missing, ours, "left_semi").select("digest", "text")
+    once = texts.join(missing, ours, "left_semi").select("doc_id", "digest", "text")
+    # rows that repeat id and text both lie side by side after that join; one of them is encoded
+    once = once.dropDuplicates(["doc_id", "digest"]).select("digest", "text")
     new = once.mapInArrow(encoded, "digest binary, n_tokens long")
-    # rows that repeat id and text both come here; their key is stored once
-    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(key).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     # of distinct keys, and written, so that the last join has exchanges whose hot keys can be split
     counts = cut(first.select("digest").join(known(), "digest"), "token-known")
