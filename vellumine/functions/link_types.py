@@ -19,30 +19,38 @@ PLATFORMS = {
     "GUOPIN": ["iguopin.com"],
     "WECHAT": ["weixin.qq.com"],
 }
-BEISEN_OWN = (
-    "campus.boe.com career.h3c.com career.mindray.com career.naura.com career.shenzhouintl.com careers.mxbc.com "
-    "careers.narwal.com hr-campus.vivo.com job.lzlj.com sunzhaopin.sinosig.com we.zyt.com zhaopin.xa.com zhaopin.xdf.cn"
-).split()
-CUSTOM = (
-    "ciicscjob.com exam-sp.com hersingdat.com hire66.com izhanchi.com pzhl.net recruitee.com sun-hrm.com tupu360.com "
-    "wscloud.kingdee.com"
-).split()
-PORTALS = "cqrc.net czrsj.cn fzrsrc.cn gxrc.com hbggzp.cn ncrczpw.com qgsydw.com yingjiesheng.com".split()
-FORMS = (
-    "bsurl.cn bit.ly dqr.cn docs.google.com docs.popo.netease.com f.kdocs.cn f.wps.cn forms.office.com is.gd jinshuju.net "
-    "jsj.top jsjform.com send2me.cn t.cn t.co tinyurl.com url.cn wj.toutiao.com wjx.cn wjx.com wjx.top"
-).split()
-NOTICE_MARKS = (
-    "gzw. mohrss. rsj. rsc. hrss. gqzp notice rcdw rczp recruit renshi rencai talent tzgg zhaopin"
-).split()
-CAREER_MARKS = "apply career campus hr job join outreach recruit talent zhaopin".split()
-REDIRECTS = "jumpurl next redirect redirect_uri returnurl targeturl url".split()
+# companies' own domains on a platform.
+BEISEN_OWN = [
+    "campus.boe.com", "career.h3c.com", "career.mindray.com", "career.naura.com", "career.shenzhouintl.com", "careers.mxbc.com",
+    "careers.narwal.com", "hr-campus.vivo.com", "job.lzlj.com", "sunzhaopin.sinosig.com", "we.zyt.com", "zhaopin.xa.com",
+    "zhaopin.xdf.cn",
+]
+# Other recruitment systems, public portals, forms and short links.
+CUSTOM = [
+    "ciicscjob.com", "exam-sp.com", "hersingdat.com", "hire66.com", "izhanchi.com", "pzhl.net", "recruitee.com", "sun-hrm.com",
+    "tupu360.com", "wscloud.kingdee.com",
+]
+PORTALS = ["cqrc.net", "czrsj.cn", "fzrsrc.cn", "gxrc.com", "hbggzp.cn", "ncrczpw.com", "qgsydw.com", "yingjiesheng.com"]
+FORMS = [
+    "bsurl.cn", "bit.ly", "dqr.cn", "docs.google.com", "docs.popo.netease.com", "f.kdocs.cn", "f.wps.cn", "forms.office.com",
+    "is.gd", "jinshuju.net", "jsj.top", "jsjform.com", "send2me.cn", "t.cn", "t.co", "tinyurl.com", "url.cn", "wj.toutiao.com",
+    "wjx.cn", "wjx.com", "wjx.top",
+]
+# Words in places of official notices and of companies' career pages, and keys of redirects.
+NOTICE_MARKS = [
+    "gzw.", "mohrss.", "rsj.", "rsc.", "hrss.", "gqzp", "notice", "rcdw", "rczp", "recruit", "renshi", "rencai", "talent",
+    "tzgg", "zhaopin",
+]
+CAREER_MARKS = ["apply", "career", "campus", "hr", "job", "join", "outreach", "recruit", "talent", "zhaopin"]
+REDIRECTS = ["jumpurl", "next", "redirect", "redirect_uri", "returnurl", "targeturl", "url"]
+# The patterns of a form's path and of an email address.
 FORM_PATH = "(?i)/(form|forms|survey|questionnaire)(/|$)"
 EMAIL = r"(?U)(?<![\w.+-])[\w.+-]+@[\w-]+(\.[\w-]+)+(?![\w.-])"
+
 _WEB = r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@]+)(?::\d*)?([^?#]*)"
 
 
-def _under(host: Column, domains: list[str]) -> Column:
+def host_under(host: Column, domains: list[str]) -> Column:
     """One pattern a kind: the host is one of the domains or below it."""
     return host.rlike(rf"(^|\.)({'|'.join(map(re.escape, domains))})$")
 
@@ -57,13 +65,13 @@ def _by_place(url: Column) -> Column:
     place = F.lower(F.concat(host, path))
     out = F.when((host == "") | host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$|^\["), UNKNOWN)
     for kind, domains in PLATFORMS.items():
-        out = out.when(_under(host, domains), kind)
+        out = out.when(host_under(host, domains), kind)
     return (
-        out.when(_under(host, BEISEN_OWN), "BEISEN")
-        .when(_under(host, CUSTOM), "CUSTOM_RECRUITMENT_SYSTEM")
+        out.when(host_under(host, BEISEN_OWN), "BEISEN")
+        .when(host_under(host, CUSTOM), "CUSTOM_RECRUITMENT_SYSTEM")
         .when(host.endswith(".gov.cn") & _any_of(place, NOTICE_MARKS), "GOVERNMENT_NOTICE")
-        .when(_under(host, PORTALS), "PUBLIC_RECRUITMENT_PORTAL")
-        .when(_under(host, FORMS) | host.startswith("form.") | path.rlike(FORM_PATH), "FORM_OR_SHORT")
+        .when(host_under(host, PORTALS), "PUBLIC_RECRUITMENT_PORTAL")
+        .when(host_under(host, FORMS) | host.startswith("form.") | path.rlike(FORM_PATH), "FORM_OR_SHORT")
         .when(_any_of(place, CAREER_MARKS), "COMPANY_RECRUITMENT_SITE")
         .when(host.startswith("www."), "COMPANY_WEBSITE")
         .otherwise(UNKNOWN)

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import SPACES, collapsed, distinct_ignoring_case, mapped, nfkc, only_category
+from .titles import parts, unbracketed
 
 # Wordings and what they stand for.
 UNKNOWN = ["", "-", "--", "/", "不详", "未知", "待定"]
@@ -132,14 +133,12 @@ def first_tokens(text: Column, n: int) -> Column:
 
 def title_list(text: Column) -> Column:
     """Distinct parts of a delimited list; marks within brackets don't part it."""
-    part = r"((?:[（(\[【][^）)\]】]*[）)\]】]|[^,，、;；|\n])+)"
-    parts = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(part), 1), collapsed)
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    return F.array_distinct(F.transform(parts(text), collapsed))
 
 
 def bare_title(title: Column) -> Column:
     """The title without a bracket at its end or a numeral at its start."""
-    return F.trim(F.regexp_replace(F.regexp_replace(title, r"[（(][^（）()]*[）)]$", ""), r"^[\d一二三四五六七八九十]+[.)、]\s*", ""))
+    return F.trim(unbracketed(F.regexp_replace(title, r"^[\d一二三四五六七八九十]+[.)、]\s*", "")))
 
 
 def fallback_id(record: Column, title: Column) -> Column:

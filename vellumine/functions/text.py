@@ -113,15 +113,18 @@ def years(text: Column, suffix: str = "届") -> Column:
 
 
 def salary_range(text: Column) -> Column:
-    """struct(low, high, months) of wordings such as `15-25K·14薪` or `1.5-2万`; else nulls."""
+    """struct(low, high, months) of wordings such as `15-25K·14薪`, `1.5-2万` or `8千-1.5万`; else nulls.
+
+    A number without a unit of its own has that of the other.
+    """
     t = F.upper(F.coalesce(text, F.lit("")))
-    unit = F.when(t.rlike("万"), 10_000).when(t.rlike("K|千"), 1_000).otherwise(1)
-    pair = r"(\d+(?:\.\d+)?)\s*(?:K|千|万)?\s*[-~至]\s*(\d+(?:\.\d+)?)"
-    number = lambda k: F.regexp_extract(t, pair, k).try_cast("double")
+    pair = r"(\d+(?:\.\d+)?)\s*(K|千|万)?\s*[-~至]\s*(\d+(?:\.\d+)?)\s*(K|千|万)?"
+    got = lambda k: F.regexp_extract(t, pair, k)
+    factor = lambda u: F.when(u == "万", 10_000).when(u.isin("K", "千"), 1_000)
+    of = lambda own, other: F.coalesce(factor(got(own)), factor(got(other)), F.lit(1))
+    amount = lambda k, own, other: F.round(got(k).try_cast("double") * of(own, other)).cast("int")
     months = F.regexp_extract(t, r"(\d{2})\s*薪", 1).try_cast("int")
-    return F.struct(
-        (number(1) * unit).cast("int").alias("low"), (number(2) * unit).cast("int").alias("high"), months.alias("months")
-    )
+    return F.struct(amount(1, 2, 4).alias("low"), amount(3, 4, 2).alias("high"), months.alias("months"))
 
 
 def links(text: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hit_score
+from ..functions.text import haystack, hit_score
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def predicate(q: FacetQuery) -> Column:
     if q.unknown:
         parts.append(F.col(q.unknown).isNull())
     if q.search:
-        text = F.lower(F.concat_ws(" ", *q.search[0]))
+        text = haystack(*map(F.col, q.search[0]))
         parts.append(reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in q.search[1])))
     return reduce(lambda a, b: a & b, parts)
 
@@ -59,7 +59,13 @@ def filtered(items: DataFrame, q: FacetQuery) -> DataFrame:
 
 def relevance(q: FacetQuery) -> Column:
     columns, wanted = q.search or ([], [])
-    return hit_score(F.concat_ws(" ", *columns), F.array(*map(F.lit, wanted))) if wanted else F.lit(0.0)
+    return hit_score(haystack(*map(F.col, columns)), F.array(*map(F.lit, wanted))) if wanted else F.lit(0.0)
+
+
+def by_relevance(items: DataFrame, q: FacetQuery, order: list[Column], number: int, size: int) -> DataFrame:
+    """One page of the filtered items with `score`, best first, equals by `order` (whose last column is unique)."""
+    scored = filtered(items, q).withColumn("score", relevance(q))
+    return page(scored, [F.col("score").desc(), *order], number, size)
 
 
 def page(items: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

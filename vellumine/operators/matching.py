@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clamped, cosine
 from .ranking import top_of_each
 
 SATISFIED, NOT_SATISFIED, UNKNOWN = "SATISFIED", "NOT_SATISFIED", "UNKNOWN"
+#: Profiles that are scored in one pass over the items.
+MOST_PROFILES = 10_000
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,11 @@ def without_history(candidates: DataFrame, history: DataFrame, on: str) -> DataF
 def nearest_per_profile(profiles: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The k nearest items (id, vec) of each profile (profile, query), scored blockwise.
 
-    Profiles are a stated set of queries, sent to every task; Spark keeps k rows a profile in
-    each partition before it shuffles.
+    Profiles are a stated set of queries, sent to every task; more than MOST_PROFILES of them are
+    refused: give them in parts. Spark keeps k rows a profile in each partition before it shuffles.
     """
+    if profiles.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
+        raise ValueError(f"at most {MOST_PROFILES} profiles at a time")
     pairs = items.join(F.broadcast(profiles))
     scored = pairs.select("profile", "id", clamped(cosine(F.col("vec"), F.col("query"))).alias("score"))
     return top_of_each(scored, ["profile"], [F.col("score").desc(), F.col("id")], k)
@@ -84,9 +89,12 @@ def key_set_errors(expected: DataFrame, given: DataFrame, key: str) -> DataFrame
     return e.join(g, key, "full_outer").select(key, problem.alias("problem")).where("problem is not null")
 
 
-def assembled(candidates: DataFrame, assessments: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Matched candidates with their assessment and current facts, numbered from 1 by score."""
-    from pyspark.sql import Window as W
+def assembled(candidates: DataFrame, assessments: DataFrame, items: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """The `most` best matched candidates with their assessment and current facts, numbered from 1 by score.
 
-    joined = candidates.join(assessments.where("matched"), key).join(items, key)
-    return joined.withColumn("position", F.row_number().over(W.orderBy(F.col("score").desc(), key)))
+    Only those are numbered, after Spark has kept the best of each partition.
+    """
+    matched = candidates.join(assessments.where("matched"), key)
+    best = matched.orderBy(F.col("score").desc(), key).limit(most)
+    numbered = best.withColumn("position", F.row_number().over(W.orderBy(F.col("score").desc(), key)))
+    return numbered.join(items, key)

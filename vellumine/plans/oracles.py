@@ -112,7 +112,7 @@ SELECT * FROM (
     "q24_terms": """
 SELECT doc_id, len(list_distinct(t))::BIGINT AS n_terms, t[1] AS first_term
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '([一-鿿]{2,}|[a-z0-9+#.]{2,})', 1) AS t FROM documents)""",
-    "q25_normalize_text": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))) AS digest FROM documents",
+    "q25_normalize_text": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\r\n\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g'))) AS digest FROM documents",
     "q26_preview": r"""
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE rtrim(t[1:239]) || '…' END AS preview
 FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) AS t FROM documents)""",
@@ -128,7 +128,7 @@ SELECT p_partkey, list(tag ORDER BY pos) AS tags FROM parts GROUP BY p_partkey""
 SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme,
        lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host,
        regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path,
-       coalesce(regexp_matches(url, '^https?://[^\s/?#]+\.[^\s/?#]+'), false) AS valid
+       coalesce(regexp_matches(url, '^https?://[^\s/?#]+\.[^\s/?#]+'), false) AS valid, regexp_replace(regexp_replace(url, '#.*$', ''), '/+([?].*)?$', '\1') AS normal
 FROM pages""",
     "q29_link_classify": r"""
 SELECT page_id, CASE WHEN url IS NULL THEN 'missing' WHEN starts_with(h, 'blog.') THEN 'blog' WHEN starts_with(h, 'm.') THEN 'mobile'
@@ -144,11 +144,11 @@ SELECT o_orderkey, o_orderdate::DATE AS at,
        date_diff('day', o_orderdate::DATE, DATE '2001-08-02') > CASE WHEN o_orderpriority = '1-URGENT' THEN 180 ELSE 365 END AS stale
 FROM orders""",
     "q32_identity_key": """
-SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN 'id|' || source || '|' || doc_id WHEN 1 THEN 'url|' || source || '|u' || doc_id
-  ELSE 'facts|' || source || '|' || coalesce(lang, chr(0)) || chr(31) || coalesce(text, chr(0)) END) AS identity_key
+SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN to_json(['id', source, doc_id::VARCHAR]) WHEN 1 THEN to_json(['url', source, 'u' || doc_id])
+  ELSE to_json(['facts', source, lang, text]) END::VARCHAR) AS identity_key
 FROM documents""",
     "q33_content_hash": """
-SELECT doc_id, sha256(concat_ws(chr(31), CASE WHEN doc_id % 7 <> 0 THEN lang ELSE chr(0) END, coalesce(source, chr(0)), coalesce(text, chr(0)))) AS content_hash
+SELECT doc_id, sha256(to_json([CASE WHEN doc_id % 7 <> 0 THEN lang END, source, text])::VARCHAR) AS content_hash
 FROM documents""",
     "q34_dedup_first": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "q35_merge_actions": f"""
@@ -175,7 +175,7 @@ SELECT event_id, sum(amount) OVER (PARTITION BY user_id ORDER BY ts, event_id RO
 SELECT user_id, event_type, event_id, ts FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "q41_quality_gate": """
-SELECT o_custkey, n, reasons, CASE WHEN stale THEN 'SKIP' WHEN len(reasons) > 0 THEN 'FALLBACK' ELSE 'ACCEPT' END AS decision FROM (
+SELECT o_custkey, n, CASE WHEN stale THEN ['STALE_PUBLISHED_AT'] ELSE reasons END AS reasons, CASE WHEN stale THEN 'SKIP' WHEN len(reasons) > 0 THEN 'FALLBACK' ELSE 'ACCEPT' END AS decision FROM (
   SELECT o_custkey, count(*) AS n, bool_and(o_orderdate < TIMESTAMP '1999-01-01') AS stale,
     list_sort(list_filter([CASE WHEN bool_or(o_totalprice < 1500) THEN 'cheap' END, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'odd_status' END,
       CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'urgent' END], lambda x: x IS NOT NULL)) AS reasons
@@ -212,5 +212,16 @@ WITH marked AS (
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM marked
 )
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM numbered GROUP BY user_id, s""",
+    "q51_limiter": """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), s AS (
+  SELECT user_id, event_id, n, [us] AS last, true AS accepted FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN len(last) < 3 OR last[-3] <= us - 86400000000 THEN list_append(last, us)[-3:] ELSE last END,
+         len(last) < 3 OR last[-3] <= us - 86400000000
+  FROM s JOIN e ON s.user_id = e.user_id AND e.n = s.n + 1
+)
+SELECT user_id, event_id, accepted FROM s""",
     "q50_stream_equals_batch": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

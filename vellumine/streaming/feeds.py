@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merging import changed, merge
+from ..operators.merging import changed, merge, without_repeats
 
 
 def files(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "*.parquet", per_batch: int = 16) -> DataFrame:
@@ -40,12 +40,12 @@ def append_available(stream: DataFrame, path: str, checkpoint: str, mode: str =
 def merging(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], key: str, content: str) -> Callable[[DataFrame, int], None]:
     """A batch handler that merges into the latest snapshot and writes the next one.
 
-    write must be idempotent in the batch number, so that a repeated batch has no effect.
+    write must be idempotent in the batch number, so that a repeated batch has no effect. A batch
+    that holds a key with different contents fails with ValueError before anything is written.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates([key])
-        write(merge(read(), newest, key, content).drop("merge_action"), number)
+        write(merge(read(), without_repeats(batch, key, content), key, content).drop("merge_action"), number)
 
     return each
 

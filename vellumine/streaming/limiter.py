@@ -14,7 +14,8 @@ def accepted(events: DataFrame, key: str, time: str, id_col: str, limit: int, se
     """key, id and `accepted` of every event, in the order of time and id within a key.
 
     Each decision hangs on the ones before, so a key's events go through one task in order; the
-    state is the last `limit` accepted times, so a key of any size needs bounded memory.
+    state is the last `limit` accepted times, so a key of any size needs bounded memory. Events
+    without a key belong to nobody: nothing is decided about them (accepted is null).
     """
     width = seconds * 1_000_000
 
@@ -32,10 +33,12 @@ def accepted(events: DataFrame, key: str, time: str, id_col: str, limit: int, se
                 out.append(ok)
             yield pd.DataFrame({"k": f["k"], "id": f["id"], "accepted": out})
 
-    rows = events.select(
+    every = events.select(
         F.col(key).alias("k"), F.col(id_col).alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("at")
-    ).where("k is not null")
+    )
+    rows = every.where("k is not null")
     kinds = {n: t.simpleString() for n, t in ((x.name, x.dataType) for x in rows.schema)}
     in_order = rows.repartition("k").sortWithinPartitions("k", "at", "id")
     out = in_order.mapInPandas(each, f"k {kinds['k']}, id {kinds['id']}, accepted boolean")
-    return out.withColumnsRenamed({"k": key, "id": id_col})
+    nobody = every.where("k is null").select("k", "id", F.lit(None).cast("boolean").alias("accepted"))
+    return out.unionByName(nobody).withColumnsRenamed({"k": key, "id": id_col})
