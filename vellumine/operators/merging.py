@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_top_values
+
 OPEN = "OPEN"
 
 
@@ -102,17 +104,15 @@ def completeness(*columns: Column) -> Column:
     return total
 
 
-def duplicate_report(rows: DataFrame, key: str, id_col: str, rank: list[Column]) -> DataFrame:
-    """Groups of two or more: winner (greatest rank, then id), sorted ids, size.
+def duplicate_report(rows: DataFrame, key: str, id_col: str, rank: list[Column], k: int = 3) -> DataFrame:
+    """Groups of two or more: key, winner (greatest rank, then id), n, and the k smallest ids; memberships has all.
 
-    A group's ids are one value, so they must fit a row; memberships gives them as rows.
+    Only those k ids are collected, whatever a group's size.
     """
-    out = rows.groupBy(key).agg(
-        F.max_by(id_col, F.struct(*rank, F.col(id_col))).alias("winner"),
-        F.array_sort(F.collect_set(id_col)).alias("ids"),
-        F.count("*").alias("n"),
-    )
-    return out.where("n > 1")
+    winner = F.max_by(id_col, F.struct(*rank, F.col(id_col))).alias("winner")
+    groups = rows.groupBy(key).agg(winner, F.count("*").alias("n")).where("n > 1")
+    ids = rows.select(key, id_col).where(F.col(id_col).isNotNull()).distinct()
+    return with_top_values(groups, ids, [key], id_col, [F.col(id_col)], k, "ids")
 
 
 def memberships(rows: DataFrame, key: str, id_col: str, rank: list[Column]) -> DataFrame:

@@ -58,7 +58,7 @@ def q04_page_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q05_left_join_source(spark: SparkSession, d: str) -> DataFrame:
-    nation = _t(spark, d, "nation").where("n_nationkey % 5 != 0")
+    nation = _t(spark, d, "nation").where("n_name < 'M'")
     out = _t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return out.select("c_custkey", F.left("c_name", F.lit(10)).alias("c_short"), "n_name")
 
@@ -197,7 +197,7 @@ def q22_topk_per_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q23_assessment_validate(spark: SparkSession, d: str) -> DataFrame:
-    expected = _t(spark, d, "documents").where("doc_id % 3 != 0").select("doc_id")
+    expected = _t(spark, d, "documents").where("lang <> 'fr'").select("doc_id")
     return matching.key_set_errors(expected, _t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
@@ -270,9 +270,10 @@ def q34_dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    old = o.where("o_orderkey % 6 != 0")
-    new = o.where("o_orderkey % 4 != 0").withColumns(
+    """Orders as they stood early in 2001, and those since the middle of 1999 as they were delivered later."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")
+    old = o.where("o_orderdate < timestamp'2001-02-01'").drop("o_orderdate")
+    new = o.where("o_orderdate >= timestamp'1999-06-01'").drop("o_orderdate").withColumns(
         {
             "o_orderstatus": F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")),
             "o_orderpriority": F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")),
@@ -355,10 +356,12 @@ def q46_coalesce_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q47_change_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents were seen before: toxic ones in another form, poor ones without success."""
     docs = _t(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    state = docs.where("doc_id % 5 != 0").select(
-        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("h")).alias("h"),
-        F.when(F.col("doc_id") % 11 == 0, "FAILED").otherwise("OK").alias("status"),
+    seen = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    state = docs.join(seen, "doc_id").select(
+        "doc_id", F.when(F.col("toxic") == 1, F.lit("old")).otherwise(F.col("h")).alias("h"),
+        F.when(F.col("quality") == 0, "FAILED").otherwise("OK").alias("status"),
     )
     return merging.changed(docs, state, "doc_id", "h").select("doc_id")
 

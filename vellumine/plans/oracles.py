@@ -23,11 +23,11 @@ _SEMANTIC = """
 
 _HALVES = """
   old AS (
-    SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice::DECIMAL(20,2) AS price FROM orders WHERE o_orderkey % 6 <> 0
+    SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice::DECIMAL(20,2) AS price FROM orders WHERE o_orderdate < TIMESTAMP '2001-02-01'
   ), new AS (
     SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
            CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority, o_totalprice::DECIMAL(20,2) AS price
-    FROM orders WHERE o_orderkey % 4 <> 0
+    FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01'
   )"""
 
 _COPIES = """
@@ -51,7 +51,7 @@ SELECT p_partkey, round(n / 4.0::DOUBLE, 6) AS score FROM (
 SELECT count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS total, count(*) AS pool_total FROM orders""",
     "q05_left_join_source": """
 SELECT c_custkey, left(c_name, 10) AS c_short, n_name FROM customer
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey""",
+LEFT JOIN (SELECT * FROM nation WHERE n_name < 'M') ON c_nationkey = n_nationkey""",
     "q06_group_rollup": """
 SELECT o_custkey, count(*) AS n, max(o_orderdate) AS newest, list_sort(list(DISTINCT o_orderstatus)) AS statuses,
        list(o_orderpriority ORDER BY o_orderdate DESC, o_orderkey)[1:3] AS top_priorities
@@ -103,7 +103,7 @@ WITH parts AS (
 )
 SELECT profile, id, round(s, 5) AS score, rank FROM ranked WHERE rank <= 5""",
     "q23_assessment_validate": """
-WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0), g AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
+WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE lang <> 'fr'), g AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
 SELECT * FROM (
   SELECT coalesce(e.doc_id, g.doc_id) AS doc_id,
          CASE WHEN n IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS problem
@@ -164,7 +164,7 @@ SELECT coalesce(old.o_orderkey, new.o_orderkey) AS o_orderkey,
   CASE WHEN new.o_orderkey IS NULL THEN old.o_orderstatus ELSE new.o_orderstatus END AS o_orderstatus,
   CASE WHEN new.o_orderkey IS NULL THEN old.o_orderpriority ELSE coalesce(new.o_orderpriority, old.o_orderpriority) END AS o_orderpriority
 FROM old FULL JOIN new ON old.o_orderkey = new.o_orderkey""",
-    "q37_duplicate_report": _COPIES,
+    "q37_duplicate_report": f"SELECT h, winner, ids[1:3] AS ids, n FROM ({_COPIES})",
     "q38_repoint": f"""
 WITH w AS (SELECT unnest(ids) AS doc_id, winner FROM ({_COPIES}))
 SELECT DISTINCT coalesce(winner, l.doc_id) AS doc_id, quality FROM labels l LEFT JOIN w ON l.doc_id = w.doc_id""",
@@ -201,7 +201,8 @@ SELECT c_custkey AS k, coalesce(nullif(c_nationkey, 3), s_nationkey) AS nation,
        coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, s_name) AS name
 FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""",
     "q47_change_detect": """
-SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0""",
+SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id
+WHERE l.doc_id IS NULL OR toxic = 1 OR quality = 0""",
     "q48_sliding_count": """
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW) AS recent
 FROM events""",
