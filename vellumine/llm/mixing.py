@@ -7,7 +7,7 @@ smallest keys whose sizes, summed in key order, come nearest to the rest of the
 The sums need no sort of a whole source: keys fall into bins by their logarithm, bin sums are
 pre-aggregated and summed along each source, and only the documents of the one bin where the
 budget ends are sorted. The logarithm of an exponential key has a density of 1/e at most,
-whatever the quality, so a bin holds about a 10 000th of a source and no bin is hot.
+whatever the quality, so a bin holds at most a 2 500th of a source or so and no bin is hot.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 SEED = "mix-1"
 #: Bins of a unit of a key's logarithm.
-BINS = 4096
+BINS = 1024
 #: Bounds of quality; what is null, NaN or not positive has the lower one and comes last.
 LEAST_QUALITY, MOST_QUALITY = 1e-6, 1e6
 
