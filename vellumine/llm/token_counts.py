@@ -70,17 +70,22 @@ def count_tokens(
     missing = cut(first.join(known(), "digest", "left_anti").withColumnRenamed("digest", "d"), "token-misses")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = word_counter(tokenizer_path)
+        counter, last = word_counter(tokenizer_path), None
         for b in batches:
-            counts = [counter.count(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            found = []
+            for digest, t in zip(b.column(0).to_pylist(), b.column(1)):
+                if digest != last:  # the join leaves rows that repeat id and text side by side
+                    found.append((digest, counter.count(t.as_py())))
+                last = digest
+            kinds = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds.field(k).type) for k in (0, 1)], schema=kinds)
 
     # one text a key: the row of its smallest id, which spreads copies' keys evenly
     ours = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("d"))
-    once = texts.join(missing, ours, "left_semi").select("doc_id", "digest", "text")
-    # rows that repeat id and text both lie side by side after that join; one of them is encoded
-    once = once.dropDuplicates(["doc_id", "digest"]).select("digest", "text")
+    once = texts.join(missing, ours, "left_semi").select("digest", "text")
     new = once.mapInArrow(encoded, "digest binary, n_tokens long")
+    # where the join is done in another way such rows may be encoded twice: their key is stored once
+    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(key).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     # of distinct keys, and written, so that the last join has exchanges whose hot keys can be split
     counts = cut(first.select("digest").join(known(), "digest"), "token-known")
