@@ -209,11 +209,12 @@ def q87_articles(spark: SparkSession, d: str) -> DataFrame:
     hrefs = F.when(k % 3 == 2, F.array(_cat("https://h.com/", k), F.lit("javascript:x"), F.lit("mailto:a@b.cn?s"), F.lit("https://a.com/#me")))
     methods = ar.application_methods(F.lit("https://a.com/"), content, hrefs, F.when(k % 2 == 0, 1).otherwise(0))
     shape = ar.content_shape(F.lit("招聘"), content, F.when(k % 4 == 0, 3).otherwise(1))
-    return _t(spark, d, "part").select(
-        "p_partkey", shape.alias("shape"), ar.application_status(methods).alias("status"),
-        F.array_join(F.transform(methods, lambda m: F.concat_ws(":", m["type"], m["value"], m["confidence"])), "|").alias("methods"),
-        F.array_join(ar.review_reasons(shape, methods), "|").alias("reasons"),
-    )
+    rows = _t(spark, d, "part").select("p_partkey", shape.alias("shape"), methods.alias("m"))  # found once, then described
+    shown = F.transform("m", lambda m: F.concat_ws(":", m["type"], m["value"], m["confidence"]))
+    return rows.select(
+        "p_partkey", "shape", ar.application_status(F.col("m")).alias("status"), F.array_join(shown, "|").alias("methods"),
+        F.array_join(ar.review_reasons(F.col("shape"), F.col("m")), "|").alias("reasons"),
+    )
 
 
 def q88_small_forms(spark: SparkSession, d: str) -> DataFrame:
