@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by batched Viterbi.
 
-Paths have the largest sum of the pieces' scores, as the unigram algorithm has it. Of a BPE
-model file the library's own ids differ, since it merges greedily; both decode to the text.
+Paths have the largest sum of the pieces' scores. Of a unigram file every path is allowed. Of
+a BPE file only those are whose pieces' borders outlive the file's merges: of each word exactly
+one, the one that merging gives. So ids are the library's own under either kind of file.
 
 Pieces never hold a word mark after another character, so the best path of a text is those of
 its words one after another. The distinct words of a batch that are equally long advance
@@ -30,6 +31,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _CELLS, MEMO = 60_000, 300_000
 #: What a model's normaliser must leave as it is, but for the marks: wide, composed and odd characters, runs of spaces.
 _PROBE = "Ａ ﬁ é e\u0301  ①\tÇ\nｶﾞ \u00a0x"
+#: A time that no merge has.
+_NEVER = np.int64(1) << 40
 #: Fixed value of the public unigram algorithm: how far below the lowest score an unknown is.
 UNKNOWN_BELOW = 10.0
 
@@ -39,11 +42,12 @@ def _codes(words: list[str], length: int) -> np.ndarray:
 
 
 class Model:
-    """Pieces of a SentencePiece model file with their scores, as the unigram algorithm uses
-    them. Only normal pieces take part in paths; a character without a piece becomes bytes.
+    """Pieces of a SentencePiece model file with their scores and, of a BPE file, merges. Only
+    normal pieces take part in paths; a character without a piece becomes bytes.
 
     Raises ValueError for a file whose normaliser changes more than spaces, or with a piece that
-    has a word mark after another character: texts couldn't be encoded word by word.
+    has a word mark after another character: texts couldn't be encoded word by word. So it does
+    for a BPE file with pieces that are merged but not put out.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,6 +70,13 @@ class Model:
         by_length: dict[int, list[int]] = defaultdict(list)
         for i in normal:
             by_length[len(self.text[i])].append(i)
+        # a BPE file's scores are ranks, whole numbers; a unigram file has logarithms
+        self.merges = bool(np.all(self.score[normal] == np.rint(self.score[normal])))
+        if self.merges:
+            if any(map(sp.is_unused, range(n))):
+                raise ValueError(f"{path}: merges through unused pieces")
+            self._check_scores(path, [i for i in normal if len(self.text[i]) > 1])
+            by_length = self._learn_merges(by_length)
         self.longest = max(by_length)
         self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length, ids in by_length.items():
@@ -78,6 +89,92 @@ class Model:
         self.memo: dict[str, np.ndarray] = {}
         self.out = [bytes([byte_of[i]]) if i in byte_of else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
 
+    def _check_scores(self, path: str, merged: list[int]) -> None:
+        """Refuses equal scores, but for pieces of several marks that are the last to merge and
+        whose merges, the leftmost first, leave the longest pieces first."""
+        self.run = np.array([len(t) if t and not t.strip(MARK) else 0 for t in self.text])
+        ranks = [self.score[i] for i in merged if not self.run[i]]
+        runs = [i for i in merged if self.run[i]]
+        if len(set(ranks)) < len(ranks) or any(self.score[i] >= min(ranks) for i in runs):
+            raise ValueError(f"{path}: which pieces merge first isn't told by scores")
+        sizes = {1, *self.run[runs].tolist()}
+        most = max(sizes)
+        #: By length of two runs together: length of the longest piece within.
+        self.run_within = np.array([max((k for k in sizes if k <= size), default=0) for size in range(2 * most + 1)])
+        for size in range(1, 3 * most):
+            merging, longest = [1] * size, []
+            while pairs := [k for k in range(len(merging) - 1) if sum(merging[k : k + 2]) in sizes]:
+                merging[pairs[0] : pairs[0] + 2] = [sum(merging[pairs[0] : pairs[0] + 2])]
+            while sum(longest) < size:
+                longest.append(int(self.run_within[min(size - sum(longest), most)]))
+            if merging != longest:
+                raise ValueError(f"{path}: runs of word marks don't merge to the longest pieces first")
+
+    def _learn_merges(self, by_length: dict[int, list[int]]) -> dict[int, list[int]]:
+        """Learns when two pieces merge and from which two each piece is made; pieces to use.
+
+        Any two pieces merge that together are a piece, those of the best score first. A piece
+        is made of the two parts that stay apart until its own time; one without such parts is
+        never made.
+        """
+        id_of = {self.text[i]: i for ids in by_length.values() for i in ids}
+        n = len(self.text)
+        self.made = np.zeros(n, np.int64)  # 0: a character, there from the start
+        many = np.array([i for length, ids in by_length.items() if length > 1 for i in ids], np.int64)
+        self.made[many] = 1 - self.score[many].astype(np.int64)
+        splits = [
+            (len(t), i, id_of[t[:k]], id_of[t[k:]])
+            for i in many.tolist()
+            for t in [self.text[i]]
+            for k in range(1, len(t))
+            if t[:k] in id_of and t[k:] in id_of
+        ]
+        size, whole, left, right = np.array(splits, np.int64).reshape(-1, 4).T
+        pair = left * n + right
+        order = np.argsort(pair)
+        self.pairs, self.pair_made = np.append(pair[order], _NEVER), np.append(self.made[whole[order]], _NEVER)
+        self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        usable = self.made == 0
+        for i in many[self.run[many] > 0].tolist():  # only the symbols at their ends matter
+            usable[i], self.left[i], self.right[i] = True, id_of[MARK], id_of[MARK]
+        for length in sorted(set(size.tolist())):  # parts are shorter: known by then
+            at = np.nonzero((size == length) & (self.run[whole] == 0) & usable[left] & usable[right])[0]
+            at = at[np.maximum(self.made[left[at]], self.made[right[at]]) < self.made[whole[at]]]
+            at = at[self._apart(left[at], right[at], self.made[whole[at]])]
+            self.left[whole[at]], self.right[whole[at]] = left[at], right[at]
+            usable[whole[at]] = True
+        kept = {length: [i for i in ids if usable[i]] for length, ids in by_length.items()}
+        return {length: ids for length, ids in kept.items() if ids}
+
+    def _apart(self, left: np.ndarray, right: np.ndarray, until: np.ndarray | np.int64 = _NEVER) -> np.ndarray:
+        """Whether no merge before `until` crosses the border between pieces left and right.
+
+        Goes back in time: the two symbols at the border would have merged if their merge comes
+        before the later of them was taken up into a larger one. Of merges at the same time the
+        one further left comes first. Of two runs of marks the first must be the longest piece within both.
+        """
+        n = len(self.text)
+        ok = np.ones(len(left), bool)
+        if until is _NEVER:
+            marks = (self.run[left] > 0) & (self.run[right] > 0)
+            ok[marks] = self.run[left[marks]] == self.run_within[self.run[left[marks]] + self.run[right[marks]]]
+            row = np.nonzero(~marks)[0]
+            left, right = left[row], right[row]
+        else:
+            row = np.arange(len(left))
+        until = np.broadcast_to(until, len(row))
+        while len(row):
+            pair = left * n + right
+            at = np.searchsorted(self.pairs, pair)
+            crossed = (self.pairs[at] == pair) & (self.pair_made[at] < until)
+            ok[row[crossed]] = False
+            a, b = self.made[left], self.made[right]
+            go = ~crossed & ((a > 0) | (b > 0))
+            row, left, right, a, b = row[go], left[go], right[go], a[go], b[go]
+            until = np.where(a > b, a, b + 1)
+            left, right = np.where(a > b, self.right[left], left), np.where(a > b, right, self.left[right])
+        return ok
+
     def _found(self, codes: np.ndarray) -> list[np.ndarray]:
         """By length - 1: id of the piece that starts at each place of each word, or -1."""
         n, size = codes.shape
@@ -104,7 +201,7 @@ class Model:
     def paths(self, words: list[str]) -> list[np.ndarray]:
         """Ids of the best path of each of some equally long words.
 
-        Of paths with equal scores the one with the longest last piece is taken.
+        Of paths with equal scores (none under merges) the one with the longest last piece is taken.
         """
         size = len(words[0])
         codes = _codes(words, size)
@@ -113,16 +210,22 @@ class Model:
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, size + 1), np.int32)
+        last = np.full((n, size + 1), -1, np.int32)  # the piece that ends here; -1: none or unknown
         for end in range(1, size + 1):
             reach = min(end, most)
-            tried = np.full((n, reach), -np.inf)
-            for length in range(reach, 0, -1):
-                ids = found[length - 1][:, end - length]
-                score = np.where(ids >= 0, self.score[ids], self.unknown_score if length == 1 else -np.inf)
-                tried[:, reach - length] = best[:, end - length] + score
+            ids = np.stack([found[length - 1][:, end - length] for length in range(reach, 0, -1)], axis=1)
+            tried = best[:, end - reach : end] + np.where(ids >= 0, self.score[ids], -np.inf)
+            if self.merges:
+                before = last[:, end - reach : end]
+                row, col = np.nonzero((before >= 0) & (ids >= 0) & (tried > -np.inf))
+                apart = self._apart(before[row, col].astype(np.int64), ids[row, col].astype(np.int64))
+                tried[row[~apart], col[~apart]] = -np.inf
+            unknown = ids[:, -1] < 0
+            tried[unknown, -1] = best[unknown, end - 1] + self.unknown_score
             pick = tried.argmax(axis=1)
             back[:, end] = reach - pick
             best[:, end] = tried[np.arange(n), pick]
+            last[:, end] = ids[np.arange(n), pick]
         taken: list[list[np.ndarray]] = []
         row, end = np.arange(n), np.full(n, size)
         while len(row):
