@@ -55,12 +55,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the path with the largest sum of scores (the unigram rule, by Viterbi).
-
-    The public model is a BPE one, whose own rule merges greedily, so these ids are NOT those of
-    the sentencepiece library under this file: use them only with models trained on them. They
-    decode to the text either way.
-    """
+    """The ids that the sentencepiece library gives with the public BPE model, by Viterbi over the
+    paths that the model's merges allow; and whether decoding them gives the text again."""
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_viterbi.encode(docs, public_tokenizers.path(PIECES), ["doc_id"])
 

@@ -5,7 +5,8 @@ a BPE file only those are whose pieces' borders outlive the file's merges: of ea
 one, the one that merging gives. So ids are the library's own under either kind of file.
 
 Pieces never hold a word mark after another character, so the best path of a text is those of
-its words one after another. The distinct words of a batch that are equally long advance
+its words one after another; nor does a piece hold a character that has only a piece of its
+own, or none, so words end there too. The distinct words of a batch that are equally long advance
 together: hashes of all their substrings probe the sorted hashes of the pieces of each length,
 a maximum per end position is taken over all piece lengths at once, and the chosen lengths are
 the backpointers.
@@ -20,15 +21,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of a group of words that advance together, and words a worker remembers.
-_CELLS, MEMO = 60_000, 300_000
+#: Cells of a group of words that advance together, and words and pairs of pieces a worker remembers.
+_CELLS, MEMO, PAIRS = 60_000, 300_000, 1 << 20
+#: Bytes of texts whose new words are learnt together.
+_TEXTS = 2 << 20
 #: What a model's normaliser must leave as it is, but for the marks: wide, composed and odd characters, runs of spaces.
 _PROBE = "Ａ ﬁ é e\u0301  ①\tÇ\nｶﾞ \u00a0x"
 #: A time that no merge has.
@@ -77,6 +80,10 @@ class Model:
                 raise ValueError(f"{path}: merges through unused pieces")
             self._check_scores(path, [i for i in normal if len(self.text[i]) > 1])
             by_length = self._learn_merges(by_length)
+        inside = sorted({c for t, k in ((t, k) for k, ids in by_length.items() for t in map(self.text.__getitem__, ids)) if k > 1 for c in t} - {MARK})
+        joins = "".join(map(re.escape, inside))
+        self.word = re.compile(f"{MARK}*[{joins}]+|{MARK}+|[^{MARK}{joins}]" if joins else f"{MARK}+|[^{MARK}]")
+        self.score_of = np.append(self.score, -np.inf)  # of -1, no piece: minus infinity
         self.longest = max(by_length)
         self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length, ids in by_length.items():
@@ -134,6 +141,7 @@ class Model:
         order = np.argsort(pair)
         self.pairs, self.pair_made = np.append(pair[order], _NEVER), np.append(self.made[whole[order]], _NEVER)
         self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.known = np.full(PAIRS, -1, np.int64)  # pairs of pieces, doubled, plus 1 if they stay apart
         usable = self.made == 0
         for i in many[self.run[many] > 0].tolist():  # only the symbols at their ends matter
             usable[i], self.left[i], self.right[i] = True, id_of[MARK], id_of[MARK]
@@ -175,27 +183,36 @@ class Model:
             left, right = np.where(a > b, self.right[left], left), np.where(a > b, right, self.left[right])
         return ok
 
-    def _found(self, codes: np.ndarray) -> list[np.ndarray]:
-        """By length - 1: id of the piece that starts at each place of each word, or -1."""
-        n, size = codes.shape
+    def _remembered(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_apart, which is worked out for pairs that aren't in their place of a table yet."""
+        pair = left * len(self.text) + right
+        place = ((pair.astype(np.uint64) * _P) >> np.uint64(40)).astype(np.int64) & (PAIRS - 1)
+        known = self.known[place]
+        new = np.nonzero(known >> 1 != pair)[0]
+        if len(new):
+            known[new] = pair[new] * 2 + self._apart(left[new], right[new])
+            self.known[place[new]] = known[new]
+        return (known & 1).astype(bool)
+
+    def _found(self, codes: np.ndarray) -> np.ndarray:
+        """By length - 1, start and word: id of the piece there, or -1. A word is a column of codes."""
+        size, n = codes.shape
         wide = codes.astype(np.uint64)
-        h = np.zeros((n, size + 1), np.uint64)
-        out = []
-        for length in range(1, min(size, self.longest) + 1):
+        h = np.zeros((size + 1, n), np.uint64)
+        out = np.full((min(size, self.longest), size, n), -1, np.int64)
+        for length in range(1, len(out) + 1):
             # hash of codes[s : s + length] from that of codes[s + 1 : s + length]
-            h = wide[:, : size - length + 1] + _P * h[:, 1:]
+            h = wide[: size - length + 1] + _P * h[1:]
             if length not in self.keys:
-                out.append(np.full(h.shape, -1, np.int32))
                 continue
             keys, ids, texts = self.keys[length]
-            at = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1).reshape(h.shape)
-            got = np.where(keys[at] == h, ids[at], np.int32(-1))
-            word, start = np.nonzero(got >= 0)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            start, word = np.nonzero(keys[at] == h)
+            at = at[start, word]
             same = np.ones(len(word), bool)
             for k in range(length):  # equal hashes are confirmed by the characters
-                same &= texts[at[word, start], k] == codes[word, start + k]
-            got[word[~same], start[~same]] = -1
-            out.append(got)
+                same &= texts[at, k] == codes[start + k, word]
+            out[length - 1, start[same], word[same]] = ids[at[same]]
         return out
 
     def paths(self, words: list[str]) -> list[np.ndarray]:
@@ -203,42 +220,43 @@ class Model:
 
         Of paths with equal scores (none under merges) the one with the longest last piece is taken.
         """
-        size = len(words[0])
-        codes = _codes(words, size)
+        n, size = len(words), len(words[0])
+        codes = np.ascontiguousarray(_codes(words, size).T)
         found = self._found(codes)
-        n, most = len(words), len(found)
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int32)
-        last = np.full((n, size + 1), -1, np.int32)  # the piece that ends here; -1: none or unknown
+        column = np.arange(n)
+        best = np.zeros((size + 1, n))
+        back = np.zeros((size + 1, n), np.int64)
+        last = np.full((size + 1, n), -1, np.int64)  # the piece that ends here; -1: none or unknown
         for end in range(1, size + 1):
-            reach = min(end, most)
-            ids = np.stack([found[length - 1][:, end - length] for length in range(reach, 0, -1)], axis=1)
-            tried = best[:, end - reach : end] + np.where(ids >= 0, self.score[ids], -np.inf)
+            lengths = np.arange(min(end, len(found)), 0, -1)
+            starts = end - lengths
+            ids = found[lengths - 1, starts]
+            tried = best[starts] + self.score_of[ids]
             if self.merges:
-                before = last[:, end - reach : end]
-                row, col = np.nonzero((before >= 0) & (ids >= 0) & (tried > -np.inf))
-                apart = self._apart(before[row, col].astype(np.int64), ids[row, col].astype(np.int64))
-                tried[row[~apart], col[~apart]] = -np.inf
-            unknown = ids[:, -1] < 0
-            tried[unknown, -1] = best[unknown, end - 1] + self.unknown_score
-            pick = tried.argmax(axis=1)
-            back[:, end] = reach - pick
-            best[:, end] = tried[np.arange(n), pick]
-            last[:, end] = ids[np.arange(n), pick]
-        taken: list[list[np.ndarray]] = []
-        row, end = np.arange(n), np.full(n, size)
-        while len(row):
-            length = back[row, end]
-            end = end - length
-            taken.append([row, length, end])
-            row, end = row[end > 0], end[end > 0]
-        ids_of: list[list[int]] = [[] for _ in range(n)]
-        for row, length, start in reversed(taken):
-            for r, k, s in zip(row.tolist(), length.tolist(), start.tolist()):
-                piece = int(found[k - 1][r, s])
-                ids_of[r].extend([piece] if piece >= 0 else self._bytes(words[r][s]))
-        return [np.array(x, np.int32) for x in ids_of]
+                at, word = np.nonzero((ids >= 0) & (last[starts] >= 0))
+                cut = ~self._remembered(last[starts[at], word], ids[at, word])
+                tried[at[cut], word[cut]] = -np.inf
+            unknown = ids[-1] < 0
+            tried[-1, unknown] = best[end - 1, unknown] + self.unknown_score
+            pick = tried.argmax(axis=0)
+            back[end] = lengths[pick]
+            best[end] = tried[pick, column]
+            last[end] = ids[pick, column]
+        ends = np.zeros((size + 1, n), bool)
+        word, end = column, np.full(n, size)
+        while len(word):
+            ends[end, word] = True
+            end = end - back[end, word]
+            word, end = word[end > 0], end[end > 0]
+        word, end = np.nonzero(ends.T)  # word by word, in order
+        ids = last[end, word]
+        cuts = [0, *np.cumsum(ends.sum(axis=0)).tolist()]
+        flat = ids.astype(np.int32)
+        parts = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for w in set(word[ids < 0].tolist()):
+            of_word = zip(parts[w].tolist(), end[word == w].tolist())
+            parts[w] = np.array([i for piece, e in of_word for i in ([piece] if piece >= 0 else self._bytes(words[w][e - 1]))], np.int32)
+        return parts
 
     def _bytes(self, char: str) -> list[int]:
         if not self.byte_id:
@@ -246,13 +264,13 @@ class Model:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def words(self, text: str) -> list[str]:
-        return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def learn(self, words: set[str]) -> None:
         if len(self.memo) >= MEMO:
             self.memo.clear()
         by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(w for w in words if w not in self.memo):
+        for w in words - self.memo.keys():
             by_length[len(w)].append(w)
         for length, group in by_length.items():
             step = max(1, _CELLS // length)
@@ -287,13 +305,15 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "t
         m = model(model_path)
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for at in range(0, b.num_rows, 256):
-                some = [t.as_py() or "" for t in texts.slice(at, 256)]
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // _TEXTS
+            cuts = [0, *(np.nonzero(np.diff(size))[0] + 1).tolist(), b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                some = [t or "" for t in texts.slice(at, to - at).to_pylist()]
                 ids = m.encode(some)
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
                 same = [m.decode(i.tolist()) == t for i, t in zip(ids, some)]
-                columns = [*(c.slice(at, 256) for c in b.columns[:-1]), lists, pa.array(np.diff(ends)), pa.array(same, pa.bool_())]
+                columns = [*(c.slice(at, to - at) for c in b.columns[:-1]), lists, pa.array(np.diff(ends)), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{n}" for n in range(len(keep))), "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)], F.col(text_col).cast("string").alias("t"))
