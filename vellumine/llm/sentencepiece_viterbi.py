@@ -199,7 +199,7 @@ class Model:
         size, n = codes.shape
         wide = codes.astype(np.uint64)
         h = np.zeros((size + 1, n), np.uint64)
-        out = np.full((min(size, self.longest), size, n), -1, np.int64)
+        out = np.full((min(size, self.longest), size, n), -1, np.int32)
         for length in range(1, len(out) + 1):
             # hash of codes[s : s + length] from that of codes[s + 1 : s + length]
             h = wide[: size - length + 1] + _P * h[1:]
