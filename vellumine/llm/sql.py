@@ -84,9 +84,49 @@ SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(prefix
 FROM fits WHERE rn = 1
 """
 
+#: Distinct words, pairs, triples and quadruples of all texts, counted by their letters.
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k AS words, array_to_string(w[s : s + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, range(1, 5) r(k))
+), f AS MATERIALIZED (
+  SELECT lang, words, phrase, count(*) AS n FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 30
+), cuts AS (
+  SELECT *, array_to_string(w[: k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM cand)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a // (x.n + y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, a, array_to_string(w[s : s + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, words - k + 2)) AS s FROM cand, range(2, 4) r(k) WHERE k < words)
+), held AS (
+  SELECT lang, phrase, max(a) AS b FROM inner_ GROUP BY lang, phrase
+), stay AS (
+  SELECT l.* FROM lowest l LEFT JOIN held h ON l.lang = h.lang AND l.phrase = h.phrase
+  WHERE h.b IS NULL OR 100::HUGEINT * h.b < 80::HUGEINT * l.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay
+)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score FROM ranked k JOIN totals t ON k.lang = t.lang WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op3_exact_dedup": EXACT,
     "op4_mixing": MIXING,
     "op5_embedding_dedup": EMBEDDINGS,
     "op8_sharding": SHARDING,
+    "op11_phrases": PHRASES,
 }
