@@ -11,17 +11,18 @@ words, and of each phrase a task cuts the text at one place only.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_of_each
-from .common import cut
+from .common import cut, shuffles_dropped
 
 LONGEST = 4
 LEAST = 30
@@ -29,7 +30,7 @@ FIRST = 2000
 #: Bits of a map of frequent fingerprints (16 MB), whatever the corpus.
 MAP_BITS = 27
 #: Bytes of text handled at once; a piece that is longer is handled alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SCALE, COVERED = 2_000_000, (100, 80)
 
 _BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
@@ -54,7 +55,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2**64."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        held = np.full(1 << max(16, n.bit_length()), base, _U)
+        held = np.full(max(n + (n >> 3), 1 << 16), base, _U)
         held[0] = 1
         _powers[base] = held = np.multiply.accumulate(held)
     return held[:n]
@@ -90,10 +91,9 @@ class Words:
         before[1:] = inside[:-1]
         self.starts = np.flatnonzero(inside & (~before | edge))
         self.ends = np.flatnonzero(before & (~inside | edge))
-        cuts = np.zeros(len(data) + 1, np.int64)
-        cuts[1:] = of == 2
-        cuts += edge
-        self.piece = np.cumsum(cuts)[self.starts]
+        cuts = edge.astype(np.int8)
+        cuts[1:] += of == 2
+        self.piece = np.cumsum(cuts, dtype=np.int32)[self.starts]
         doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.lang = langs[doc]
         length = (self.ends - self.starts).astype(_U)
@@ -108,18 +108,16 @@ class Words:
         """Fingerprints of the n words at `at`, in their language."""
         return _mixed(_spans(self.word, at, at + n, _WORD_BASE) * _U(2) + seeds[self.lang[at]] + _U(n))
 
-    def exact(self) -> np.ndarray:
-        """Numbers of the words, equal if and only if their bytes are."""
+    def exact(self) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of the words, equal if and only if their bytes are, and the words by number."""
         inside = np.zeros(len(self.data) + 1, np.int8)
         inside[self.starts] += 1
         np.add.at(inside, self.ends, -1)
-        letters = self.data[np.cumsum(inside[:-1]) > 0]
+        letters = self.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
         ends = np.append(0, np.cumsum(self.ends - self.starts)).astype(np.int64)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
-        return column.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-    def phrase(self, at: int, n: int) -> str:
-        return " ".join(self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(at, at + n))
+        found = column.dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.large_string(), safe=False)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Words, np.ndarray, list[str]]]:
@@ -164,8 +162,6 @@ def _edge(kind: np.ndarray, data: np.ndarray, offsets: np.ndarray, at: int, end:
 
 
 def _digest(name: str) -> bytes:
-    import xxhash
-
     return xxhash.xxh64(name.encode("utf-8", "surrogatepass"), seed=11).digest()
 
 
@@ -209,37 +205,32 @@ def _counter(numbers: tuple[int, ...], maps: Callable[[], list[np.ndarray]], chu
     return each
 
 
-def _grouped(ids: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A place and the count of each distinct phrase among those at `at`, by the words themselves."""
-    key = ids[at]
-    for k in range(1, n):
-        key = np.unique(key, return_inverse=True)[1] * (int(ids.max(initial=0)) + 1) + ids[at + k]
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    return at[first], count
-
-
 def _teller(longest: int, maps: Callable[[], list[np.ndarray]], chunk: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, seeds, names in _chunks(batches, chunk):
-            ids = w.exact()
-            lang, size, phrase, count = [], [], [], []
-            for code, n in zip(*np.unique(w.lang, return_counts=True)):
-                lang.append(names[code]), size.append(0), phrase.append(""), count.append(int(n))
+            ids, words = w.exact()
+            langs = pa.array(names, pa.string())
+            code, count = np.unique(w.lang, return_counts=True)
+            yield _told(langs.take(pa.array(code)), 0, pa.array([""] * len(code), pa.string()), count)
             for n in range(1, longest + 1):
                 at = _admitted(w, seeds, maps(), n)
                 at = at[_hits(maps()[n - 1], w.prints(at, n, seeds))]
-                for code in np.unique(w.lang[at]).tolist():
-                    first, counts = _grouped(ids, at[w.lang[at] == code], n)
-                    lang += itertools.repeat(names[code], len(first))
-                    size += itertools.repeat(n, len(first))
-                    phrase += [w.phrase(k, n) for k in first.tolist()]
-                    count += counts.tolist()
-            columns = [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
+                key = w.lang[at]  # grouped by language and the words themselves
+                for k in range(n):
+                    key = np.unique(key, return_inverse=True)[1] * len(words) + ids[at + k]
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+                at = at[first]  # of each phrase one occurrence
+                phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
+                yield _told(langs.take(pa.array(w.lang[at])), n, phrase.cast(pa.string()), count)
 
     return each
 
 
+def _told(lang: pa.Array, words: int, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    columns = [lang, pa.array(np.full(len(lang), words, np.int32)), phrase, pa.array(count, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "n"])
+
+
 def frequent_phrases(
     docs: DataFrame,
     text_col: str = "text",
@@ -270,7 +261,8 @@ def frequent_phrases(
         # from three words on all that is asked is that pairs are frequent, so one pass counts all
         numbers = (level,) if level < 3 else tuple(range(3, longest + 1))
         counts = rows.mapInArrow(_counter(numbers, maps, chunk), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
-        often = context.broadcast(bit_map(counts.where(F.col("n") >= least).select("fp"), bits).tobytes())
+        with shuffles_dropped(docs.sparkSession):
+            often = context.broadcast(bit_map(counts.where(F.col("n") >= least).select("fp"), bits).tobytes())
         sent += [often] * len(numbers)
         level += len(numbers)
     told = rows.mapInArrow(_teller(longest, maps, chunk), "lang string, words int, phrase string, n long")
@@ -298,7 +290,9 @@ def collocations(
     by bytes. See frequent_phrases for the reading of texts and odd rows; an empty table gives no
     rows.
     """
-    counted = cut(frequent_phrases(docs, text_col, group, least, longest, **limits), "phrase-counts")
+    found = frequent_phrases(docs, text_col, group, least, longest, **limits)
+    with shuffles_dropped(docs.sparkSession):
+        counted = cut(found, "phrase-counts")
     parts = counted.where("words > 0").select("lang", "phrase", "n")
     several = counted.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("__w"))
     cuts = several.select("lang", "words", "phrase", "a", "__w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
