@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .link_types import EMAIL, link_type
 from .text import collapsed, nfkc, normal_url
@@ -40,6 +40,12 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescaped_each(texts: pd.Series) -> pd.Series:
+    """The texts of an array with their character references decoded."""
+    return texts.map(lambda a: a if a is None else [html.unescape(t) if t and "&" in t else t for t in a])
+
+
 def _blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -188,13 +188,10 @@ def q84_embedded_data(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q85_linked_jobs(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    page = _cat(
-        "<a href='/job/", k, "?x=1'><b>", F.col(NAME), "</b> engineer</a><a href=\"/jobs/\">all engineer jobs</a><a href=/job/", k,
-        "?x=1>again engineer</a><a href='https://h.com/position/view?id=9", k, "'>", F.col(BRAND), "经理</a><a href='#'>engineer</a>",
-    )
-    pages = _t(spark, d, "part").select("p_partkey", _cat("https://s.com/a/", k).alias("url"), page.alias("html"))
-    return payloads.linked_jobs(pages, "p_partkey", "url", "html")
+    """The pages' own anchors and addresses; paths in the menu become those of jobs, some twice a page."""
+    html = F.regexp_replace(F.regexp_replace("html", 'href="/', 'href="/job/'), "</a>", " engineer</a>")
+    html = F.when(F.col("page_id") % 5 != 0, html).otherwise(F.concat(F.col("html"), html, html))
+    return payloads.linked_jobs(_t(spark, d, "pages").select("page_id", "url", html.alias("html")), "page_id", "url", "html")
 
 
 def q86_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -378,8 +375,16 @@ SELECT page_id, md5(trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '
 FROM c""",
     "q84_embedded_data": "SELECT p_partkey, p_partkey AS id, p_name AS t FROM part WHERE p_partkey % 5 <> 4",
     "q85_linked_jobs": """
-SELECT p_partkey, 0 AS ordinal, p_name || ' engineer' AS title, 'https://s.com/job/' || p_partkey || '?x=1' AS detail_url, p_partkey::VARCHAR AS source_job_id FROM part
-UNION ALL SELECT p_partkey, 3, p_brand || '经理', 'https://h.com/position/view?id=9' || p_partkey, '9' || p_partkey FROM part""",
+WITH a AS (
+  SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>') AS x FROM pages
+), b AS (
+  SELECT page_id, origin, unnest(x) AS tag, generate_subscripts(x, 1) - 1 + CASE WHEN page_id % 5 = 0 THEN len(x) ELSE 0 END AS ordinal FROM a
+), c AS (
+  SELECT page_id, ordinal::INT AS ordinal, origin, trim(regexp_replace(regexp_extract(tag, '>([^<]*)<', 1), '\\s+', ' ', 'g') || ' engineer') AS title,
+    '/job' || regexp_extract(tag, 'href="([^"]*)"', 1) AS path FROM b WHERE tag LIKE '%href="/%'
+)
+SELECT page_id, ordinal, title, origin || path AS detail_url, regexp_extract(path, '([^/]+)/*$', 1) AS source_job_id
+FROM c QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY ordinal) = 1""",
     "q86_cards": "SELECT p_partkey, 0 AS ordinal, p_name AS title, 'n' || p_partkey AS source_job_id FROM part",
     "q87_articles": """
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'multi_job_candidate' WHEN p_partkey % 4 = 0 THEN 'structured_announcement' ELSE 'announcement' END AS shape,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.articles import tag_lines, unescaped
+from ..functions.articles import unescaped, unescaped_each
 from ..functions.text import collapsed
 
 # Marks of embedded data, paths of jobs, and words of links to them.
@@ -83,14 +84,30 @@ def attribute_json(page: Column, element_id: str) -> Column:
     return unescaped(F.when(F.length(found) > 2, F.substring(found, 2, F.length(found) - 2)))
 
 
+_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def page_anchors(page: Column) -> Column:
+    """Array of (ordinal, attributes, href, text) of a page's anchors, in order; null if there is no page.
+
+    Either kind of quote; tags within an anchor go, its text is one line, null if there is none.
+    """
+    whole = F.regexp_extract_all(page, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
+    attributes = F.transform(whole, lambda a: F.regexp_extract(a, r"(?is)^<a\b([^>]*)>", 1))
+    hrefs = F.transform(attributes, lambda a: F.concat(*[F.regexp_extract(a, _HREF, k) for k in (1, 2, 3)]))
+    texts = F.transform(whole, lambda a: F.regexp_replace(a, "<[^>]+>", "\n"))
+    zipped = F.arrays_zip(attributes.alias("attributes"), unescaped_each(hrefs).alias("href"), unescaped_each(texts).alias("text"))
+
+    def row(x: Column, at: Column) -> Column:
+        text = collapsed(F.replace(x["text"], F.lit("\u200b"), F.lit("")))
+        return F.struct(at.alias("ordinal"), x["attributes"].alias("attributes"), x["href"].alias("href"), F.when(text != "", text).alias("text"))
+
+    return F.transform(zipped, row)
+
+
 def anchors(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, ordinal, attributes and text of every anchor; either kind of quote, nested tags out of the text."""
-    whole = F.regexp_extract_all(html_col, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
-    rows = pages.select(id_col, F.posexplode(whole).alias("ordinal", "__a"))
-    attributes = F.regexp_extract("__a", r"(?is)^<a\b([^>]*)>", 1)
-    href = F.regexp_extract(attributes, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    href = F.regexp_replace(F.regexp_replace(href, r"(?is)^href\s*=\s*", ""), r"""^["']|["']$""", "")
-    return rows.select(id_col, "ordinal", attributes.alias("attributes"), unescaped(href).alias("href"), collapsed(tag_lines(F.col("__a"))).alias("text"))
+    """id, ordinal, attributes, href and text of every anchor of every page (see page_anchors)."""
+    return pages.select(F.col(id_col), F.inline(page_anchors(F.col(html_col))))
 
 
 def absolute(href: Column, page_url: Column) -> Column:
@@ -109,18 +126,29 @@ def absolute(href: Column, page_url: Column) -> Column:
 
 
 def linked_jobs(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """id, ordinal, title, detail_url and source_job_id of the anchors that lead to a job, each address once a page."""
-    found = anchors(pages, id_col, html_col).join(pages.select(id_col, F.col(url_col).alias("__page")), id_col)
-    url = absolute(F.col("href"), F.col("__page"))
-    path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    title = F.col("text")
-    fine = path.rlike(JOB_PATH) & ~path.rlike(LIST_PATH) & (F.length(title) > 1) & ~F.lower(title).isin(NO_TITLE)
-    rows = found.where(fine & title.rlike(f"(?i){'|'.join(JOB_WORDS)}")).select(id_col, "ordinal", title.alias("title"), url.alias("detail_url"))
-    once = rows.groupBy(id_col, "detail_url").agg(F.min(F.struct("ordinal", "title")).alias("r"))
+    """id, ordinal, title, detail_url and source_job_id of the anchors that lead to a job, each address once a page.
+
+    A row is a page: all of it is done within the row, so repeated and null ids keep their own
+    links, and nothing is shuffled.
+    """
+    found = pages.select(F.col(id_col), F.col(url_col).alias("__page"), page_anchors(F.col(html_col)).alias("__anchors"))
+
+    def job(a: Column) -> Column:
+        return F.struct(a["ordinal"].alias("ordinal"), a["text"].alias("title"), absolute(a["href"], F.col("__page")).alias("detail_url"))
+
+    def fine(j: Column) -> Column:
+        path = F.regexp_extract(j["detail_url"], r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+        title = j["title"]
+        leads = path.rlike(JOB_PATH) & ~path.rlike(LIST_PATH)
+        return leads & (F.length(title) > 1) & ~F.lower(title).isin(NO_TITLE) & title.rlike(f"(?i){'|'.join(JOB_WORDS)}")
+
+    rows = found.withColumn("__jobs", F.filter(F.transform("__anchors", job), fine))
+    first = lambda j, at: F.array_position(F.col("__jobs.detail_url"), j["detail_url"]) == at + 1
+    once = rows.select(F.col(id_col), F.inline(F.filter("__jobs", first)))
     own = [F.regexp_extract("detail_url", rf"[?&]{k}=([^&#]+)", 1) for k in ("id", "jobId", "positionId", "postId", "job_id")]
     last = F.regexp_extract(F.regexp_replace("detail_url", r"[?#].*$|/+$", ""), "([^/]+)$", 1)
     ids = F.coalesce(*[F.when(o != "", o) for o in own], F.when(~F.lower(last).isin("detail", "index"), last))
-    return once.select(id_col, "r.ordinal", "r.title", "detail_url", ids.alias("source_job_id"))
+    return once.select(id_col, "ordinal", "title", "detail_url", ids.alias("source_job_id"))
 
 
 def cards(pages: DataFrame, id_col: str, html_col: str, css: str, call: str) -> DataFrame:
@@ -163,19 +191,42 @@ def enriched(jobs: DataFrame, details: DataFrame, key: str, columns: list[str])
     return joined.select(*[F.coalesce(said[c], F.col(c)).alias(c) if c in said else F.col(c) for c in jobs.columns])
 
 
-#: How each kind of page is read: the table function of a link's kind.
-READERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
-    "NEXT": lambda pages, i, h: embedded(pages, i, h, pushed),
-    "ZHAOPIN": lambda pages, i, h: embedded(pages, i, h, after("__INITIAL_DATA__")),
-    "PHENOM": lambda pages, i, h: embedded(pages, i, h, after("phApp.ddo")),
-    "MOKA": lambda pages, i, h: pages.select(i, F.lit(0).alias("ordinal"), attribute_json(F.col(h), "init-data").alias("value")).where("value is not null"),
+def of_element(element_id: str) -> Callable[[str], Iterator[str]]:
+    """The decoded value of the first element with that id, as attribute_json reads it."""
+    tag = re.compile(rf"""(?is)<[a-z]+\b[^>]*\bid=["']{element_id}["'][^>]*>""")
+    value = re.compile(r"""(?is)\bvalue=("[^"]+"|'[^']+')""")
+
+    def found(page: str) -> Iterator[str]:
+        whole = tag.search(page)
+        own = value.search(whole[0]) if whole else None
+        if own:
+            yield html.unescape(own[1][1:-1])
+
+    return found
+
+
+#: How each kind of page is read: what finds the embedded texts of a page of a link's kind.
+READERS: dict[str, Callable[[str], Iterator[str]]] = {
+    "NEXT": pushed,
+    "ZHAOPIN": after("__INITIAL_DATA__"),
+    "PHENOM": after("phApp.ddo"),
+    "MOKA": of_element("init-data"),
 }
 
 
 def read_by_kind(pages: DataFrame, id_col: str, html_col: str, kind_col: str) -> DataFrame:
-    """Embedded values of pages by the reader of their kind; pages of other kinds yield nothing."""
-    out = None
-    for kind, reader in READERS.items():
-        found = reader(pages.where(F.col(kind_col) == kind), id_col, html_col)
-        out = found if out is None else out.unionByName(found)
-    return out
+    """id, ordinal and text of what pages embed, each read by the reader of its kind in one pass.
+
+    Pages of other kinds, of none and without html yield nothing.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, n, v) for i, k, page in zip(f[id_col], f["__kind"], f["__page"]) for n, v in enumerate(READERS[k](page))]
+            yield pd.DataFrame(rows, columns=[id_col, "ordinal", "value"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    known = pages.where(F.col(kind_col).isin(list(READERS)) & F.col(html_col).isNotNull())
+    return known.select(F.col(id_col), F.col(kind_col).alias("__kind"), F.col(html_col).cast("string").alias("__page")).mapInPandas(
+        each, f"{id_col} {kind}, ordinal int, value string"
+    )
