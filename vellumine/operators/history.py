@@ -1,23 +1,21 @@
 """State from event logs: versions, replays, bridges, feedback, refunds, completion checks.
 
-Except for versions, which need the entry before, everything is an aggregate that combines
-before the shuffle, so a key with a third of all rows is no burden to one task.
+Versions are a scan that spreads hot keys, everything else is an aggregate that combines before
+the shuffle, so a key with a third of all rows is no burden to one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def versioned(saves: DataFrame, key: str, order: list[str], facts: list[str]) -> DataFrame:
     """Saves that changed a fact, with `version` from 1; null equals null. `order` is unique within a key."""
-    w = W.partitionBy(key).orderBy(*order)
-    now = F.struct(*facts)
-    changed = F.lag(F.lit(1)).over(w).isNull() | ~now.eqNullSafe(F.lag(now).over(w))
-    kept = saves.withColumn("__changed", changed).where("__changed").drop("__changed")
-    return kept.withColumn("version", F.row_number().over(w))
+    kept = scans.changes(saves, key, order, facts)
+    return scans.running_sum(kept, key, F.lit(1), order, "version").withColumn("version", F.col("version").cast("int"))
 
 
 def replays(requests: DataFrame, key: str, fingerprint: str, order: list[str]) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
 from .ranking import with_top_values
 
 
@@ -38,8 +38,8 @@ def one(rows: DataFrame, id_col: str, value: object) -> DataFrame:
 def saved_list(saved: DataFrame, items: DataFrame, sources: DataFrame, item: str, source: str, columns: list[str]) -> DataFrame:
     """What each user saved, newest first, with the item's facts (gone items drop out) and its source's, if known."""
     listed = saved.join(items, item).join(sources, source, "left")
-    position = F.row_number().over(W.partitionBy("user_id").orderBy(F.col("saved_at").desc(), item))
-    return listed.withColumn("position", position).select("user_id", "position", item, *columns)
+    placed = scans.running_sum(listed, "user_id", F.lit(1), ["saved_at", item], "position", falling=True)
+    return placed.select("user_id", F.col("position").cast("int").alias("position"), item, *columns)
 
 
 def run_page(runs: DataFrame, created: str, id_col: str, number: int, size: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def top_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key with `rank`; Spark limits each group before the shuffle."""
@@ -49,28 +51,18 @@ def with_top_values(
 
 
 def running_sum(rows: DataFrame, key: str, value: str, order: list[str], name: str = "balance") -> DataFrame:
-    """Balance after each entry of a ledger."""
-    span = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn(name, F.sum(value).over(span))
+    """Balance after each entry of a ledger; a hot key's entries are spread (see scans)."""
+    return scans.running_sum(rows, key, F.col(value), order, name)
 
 
 def sliding_count(rows: DataFrame, key: str, time: str, seconds: int, name: str = "recent") -> DataFrame:
     """Events of the key within the last `seconds`, the event itself included, older edge not."""
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    span = W.partitionBy(key).orderBy(at).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return rows.withColumn(name, F.count("*").over(span))
+    return scans.sliding_count(rows, key, time, seconds * 1_000_000, name)
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
     """Sessions of each key: start, end, n; a pause of gap_seconds or more parts them."""
-    order = W.partitionBy(key).orderBy(time)
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    new = F.coalesce(at - F.lag(at).over(order) >= gap_seconds * 1_000_000, F.lit(True))
-    numbered = rows.withColumn("__new", new.cast("int")).withColumn("__session", F.sum("__new").over(order))
-    out = numbered.groupBy(key, "__session").agg(
-        F.min(time).alias("session_start"), F.max(time).alias("session_end"), F.count("*").alias("n")
-    )
-    return out.drop("__session")
+    return scans.sessions(rows, key, time, gap_seconds * 1_000_000)
 
 
 def stratified(rows: DataFrame, stratum: str, id_col: str, k: int, seed: str) -> DataFrame:
