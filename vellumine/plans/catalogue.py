@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +11,9 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import facets, matching, merging, quality, ranking
 from ..sources import records
+from ..storage import scratch_path
 from ..streaming import feeds, limiter
-from . import collected, facts
+from . import collected, facts, stores
 from .oracles import ORACLES as CATALOGUE_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -376,7 +375,7 @@ def q49_session_window(spark: SparkSession, d: str) -> DataFrame:
 
 def q50_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts by a stream in two runs; the second brings events of 20 years before, which come too late."""
-    events, base = _t(spark, d, "events"), f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    events, base = _t(spark, d, "events"), scratch_path(spark, "stream")
     own = events.select("ts", "event_type", F.lit(1).alias("value"))
     for rows in (own, own.withColumn("ts", F.col("ts") - F.expr("INTERVAL 20 YEARS"))):
         rows.write.mode("append").parquet(f"{base}/in")
@@ -387,13 +386,6 @@ def q50_stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return (base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-
-
 def _numbered(path: str):  # noqa: ANN202
     """Writes each batch's updates to a folder of its own, so a repeated batch replaces itself."""
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -403,5 +395,5 @@ def q51_limiter(spark: SparkSession, d: str) -> DataFrame:
     return limiter.accepted(_t(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
-ORACLES = CATALOGUE_SQL | facts.ORACLES | collected.ORACLES
-QUERIES = collected.QUERIES | facts.QUERIES | {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
+ORACLES = CATALOGUE_SQL | facts.ORACLES | collected.ORACLES | stores.ORACLES
+QUERIES = collected.QUERIES | facts.QUERIES | stores.QUERIES | {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -71,7 +71,7 @@ def q73_quality_gate_of_all(spark: SparkSession, d: str) -> DataFrame:
     return quality.gate(_t(spark, d, "orders"), ["o_custkey"], problems, stale, ["TYPE_CONFLICT"], expected)
 
 
-def _cells() -> Column:
+def title_cells() -> Column:
     k = F.col("p_partkey") % 8
     return (
         F.when(k == 0, _cat(F.col(BRAND), "工程师；", F.col(BRAND), "(华北;华南)经理、", F.col(BRAND), "工程师"))
@@ -86,13 +86,13 @@ def _cells() -> Column:
 
 def q74_safe_titles(spark: SparkSession, d: str) -> DataFrame:
     """Cells with marks in brackets, labels, two languages, prose, words in a row; the company is the brand."""
-    titles = ti.safe_titles(_cells(), F.col(BRAND))
+    titles = ti.safe_titles(title_cells(), F.col(BRAND))
     rows = _t(spark, d, "part").select("p_partkey", F.posexplode(titles).alias("ordinal", "title"))
     return rows.select("p_partkey", "ordinal", "title", ti.unbracketed(F.col("title")).alias("bare"))
 
 
 def q75_title_checks(spark: SparkSession, d: str) -> DataFrame:
-    cell = _cells()
+    cell = title_cells()
     return _t(spark, d, "part").select(
         "p_partkey", ti.is_generic(cell, F.col(BRAND)).alias("generic"), F.coalesce(ti.is_role(cell), F.lit(False)).alias("role"),
         F.coalesce(ti.is_too_long(F.repeat(cell, 9)), F.lit(False)).alias("long"), F.size(ti.candidates(cell)).alias("n"),
@@ -296,7 +296,7 @@ def q98_batch_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("o_custkey", "n", F.array_join(tokens, ",").alias("tokens"), records.first_of(F.lit(" "), F.lit(None).cast("string"), F.lit(" x ")).alias("first"))
 
 
-_DIST_VALUE = """CASE p_partkey % 8 WHEN 0 THEN [p_brand || '工程师', p_brand || '(华北;华南)经理'] WHEN 1 THEN [p_brand || '开发', '测试', '运维经理']
+TITLES = """CASE p_partkey % 8 WHEN 0 THEN [p_brand || '工程师', p_brand || '(华北;华南)经理'] WHEN 1 THEN [p_brand || '开发', '测试', '运维经理']
     WHEN 2 THEN [p_name || ',产品经理'] WHEN 4 THEN [p_brand || '工程师', p_brand || '专员'] ELSE []::VARCHAR[] END"""
 
 ORACLES = {
@@ -326,7 +326,7 @@ SELECT o_custkey, n, CASE WHEN n = 0 THEN ['PARSER_EMPTY'] WHEN stale THEN ['STA
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)""",
     "q74_safe_titles": f"""
 SELECT p_partkey, ordinal::INT AS ordinal, title, regexp_replace(title, '[(][^()]*[)]$', '') AS bare FROM (
-  SELECT p_partkey, unnest(t) AS title, generate_subscripts(t, 1) - 1 AS ordinal FROM (SELECT p_partkey, {_DIST_VALUE} AS t FROM part))""",
+  SELECT p_partkey, unnest(t) AS title, generate_subscripts(t, 1) - 1 AS ordinal FROM (SELECT p_partkey, {TITLES} AS t FROM part))""",
     "q75_title_checks": """
 SELECT p_partkey, k IN (5, 6, 7) AS generic, k IN (0, 1, 2, 4, 5) AS role, coalesce(l * 9 > 80, false) AS long, [3, 3, 1, 1, 2, 1, 1, 0][k + 1]::INT AS n FROM (
   SELECT p_partkey, (p_partkey % 8)::INT AS k, CASE p_partkey % 8 WHEN 0 THEN 3 * length(p_brand) + 18 WHEN 1 THEN length(p_brand) + 13 WHEN 2 THEN length(p_name) + 5

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +81,10 @@ class Replies:
             token = following
 
 
-def _micros(value: object) -> datetime | None:
-    return datetime.fromtimestamp(value / 1000, timezone.utc) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+def _instant(value: object) -> datetime | None:
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=value)
 
 
 def _texts(value: object) -> str | None:
@@ -93,7 +95,7 @@ _READ: dict[type[DataType], Callable[[object], object]] = {
     StringType: _texts,
     DoubleType: lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None,
     BooleanType: lambda v: v if isinstance(v, bool) else None,
-    TimestampType: _micros,
+    TimestampType: _instant,
     ArrayType: lambda v: [_texts(x) for x in v] if isinstance(v, list) else None,
 }
 
