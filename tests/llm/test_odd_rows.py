@@ -13,7 +13,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellumine.llm import common, language_id, mixing, queries, sentencepiece_viterbi, token_store
+from vellumine.llm import common, language_id, mixing, queries, sentencepiece_viterbi, sharding, token_store
 
 
 def test_mix_with_odd_quality(spark):
@@ -167,3 +167,36 @@ def test_no_local_scratch_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.scratch_path(Session, "x")
+
+
+def test_many_rows_of_one_id_make_many_shards(spark, monkeypatch):
+    """A third of the rows without an id, and one document beyond the limit: a few rounds, and tasks of a bin each."""
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") == 100, F.repeat(F.lit("y"), 90_000)).otherwise(F.repeat(F.lit("x"), 100)).alias("text")
+    )
+    rounds = []
+    real = sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df, name: (rounds.append(name), real(df, name))[1])
+    got = sharding.assign_shards(rows, limit=20_000).collect()
+    assert len(got) == 9000 and rounds.count("shard-sums") < 24
+    sums = {}
+    for r in got:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["n_bytes"]
+    assert all(sums[r["shard"]] == r["shard_bytes"] for r in got)
+    assert sorted(v for v in sums.values() if v > 20_000) == [90_000]
+    assert sum(r["doc_id"] is None for r in got) == 3000 and len({r["shard"] for r in got if r["doc_id"] is None}) >= 15
+    halves = sharding.assign_shards(spark.createDataFrame([(1, "x" * n) for n in (60, 60, 30, 20, 100, 101)], "doc_id int, text string"), limit=100).collect()
+    assert all(r["shard_bytes"] <= 100 or r["n_bytes"] == 101 for r in halves)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, "w " * i, "a", i, i, i) for i in range(1, 9)], "doc_id long, text string, source string, copies int, __copies int, _id int")
+    out = mixing.mixed_documents(rows)
+    assert out.columns == rows.columns and all(r["copies"] == r["__copies"] == r["_id"] == r["doc_id"] for r in out.collect())
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{DATA}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, cut, small_side
+from .common import ASCII_WORD, cut, free_names, small_side
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -129,8 +129,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are matched by id: a row whose id is null or repeated takes the largest number of
     copies found for that id. Columns stay as they are.
     """
-    taken = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = taken.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"]))
-    each = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1)))))
-    return each.where("__copies > 0").select(*[docs[c] for c in docs.columns])
+    copies, id_, at = free_names(docs, "copies", "id", "copy")
+    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(id_)).agg(F.max("copies").alias(copies))
+    joined = docs.join(taken, docs[id_col].eqNullSafe(taken[id_]))
+    each = joined.withColumn(at, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))))
+    return each.where(F.col(copies) > 0).select(*[docs[c] for c in docs.columns])

@@ -43,20 +43,26 @@ def base_bits(sizes: DataFrame, limit: int) -> int:
 def directory(sizes: DataFrame, limit: int, bits: int) -> DataFrame:
     """Buckets (depth, prefix, bytes) that together hold all of sizes (h, n_bytes).
 
-    A bucket over the limit at HASH_BITS bits (one document, or ids with one hash) stays.
+    A bucket over the limit in which all hashes are one (a large document, or many rows of one
+    id) stays as soon as that is seen, since no bit can split it.
     """
-    base = cut(sizes.groupBy(_prefix(bits).alias("h")).agg(F.sum("n_bytes").alias("n_bytes")), "shard-base")
+    ends = [F.min("h").alias("low"), F.max("h").alias("high")]
+    base = sizes.groupBy(_prefix(bits).alias("p")).agg(F.sum("n_bytes").alias("n_bytes"), *ends)
+    base = cut(base.withColumnRenamed("p", "h"), "shard-base")
     done, left, width = [], base, bits
     for depth in range(HASH_BITS + 1):
         if depth == bits + 1:
             over = left.select(_prefix(bits, of=width).alias("__h")).distinct()
             left = sizes.join(small_side(over), _prefix(bits) == F.col("__h"), "left_semi")
+            left = left.select("h", "n_bytes", F.col("h").alias("low"), F.col("h").alias("high"))
             width = HASH_BITS
-        sums = left.groupBy(_prefix(depth, of=width).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"))
+        sums = left.groupBy(_prefix(depth, of=width).alias("prefix")).agg(
+            F.sum("n_bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
         sums = cut(sums.withColumn("depth", F.lit(depth)), "shard-sums")
-        fits = sums.where((F.col("bytes") <= limit) | (F.col("depth") == HASH_BITS))
-        done.append(fits.select("depth", "prefix", "bytes"))
-        over = sums.where((F.col("bytes") > limit) & (F.col("depth") < HASH_BITS)).select(F.col("prefix").alias("__p"))
+        whole = (F.col("bytes") <= limit) | (F.col("low") == F.col("high"))
+        done.append(sums.where(whole).select("depth", "prefix", "bytes"))
+        over = sums.where(~whole).select(F.col("prefix").alias("__p"))
         if over.isEmpty():
             break
         left = left.join(small_side(over), _prefix(depth, of=width) == F.col("__p"), "left_semi")
@@ -67,14 +73,17 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_bytes, depth, prefix, part, shard, shard_bytes.
 
     n_bytes is the text's UTF-8 length (null: 0). shard names the bucket's prefix bits (`*` at
-    depth 0). A bucket that is still over the limit when all bits are used holds one document
-    or ids with one hash; its rows are chained into parts by a running sum in (id, size)
-    order, so only a single document larger than the limit exceeds it, alone in its part.
+    depth 0). A bucket over the limit whose rows all have one hash (repeated and null ids) is
+    dealt by a second hash, of the rows' numbers, to bins of about the limit. Within a bin rows
+    of more than half the limit are parts of their own and the others are chained by a running
+    sum into parts of at most the limit. So only a document larger than the limit exceeds it,
+    alone in its part, and no task sees more than a bin.
     An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"))
-    rows = cut(rows.withColumn("h", hash_bits(F.col("doc_id"))), "shard-sizes")
+    # the rows' numbers are written, so they stay what they are
+    rows = cut(rows.select("*", hash_bits(F.col("doc_id")).alias("h"), F.monotonically_increasing_id().alias("row")), "shard-sizes")
     bits = base_bits(rows, limit)
     buckets = cut(directory(rows, limit, bits), "shard-directory")
     deepest = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
@@ -95,13 +104,17 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ]
         deeper = reduce(DataFrame.unionByName, levels).withColumnsRenamed({"d": "depth", "p": "prefix", "b": "bytes"})
         placed = placed.where("depth is not null").unionByName(deeper)
-    in_order = W.partitionBy("depth", "prefix").orderBy(F.col("doc_id").asc_nulls_last(), "n_bytes")
-    before = F.sum("n_bytes").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_bytes")
-    over = placed.where(F.col("bytes") > limit).withColumn("part", F.floor(before / limit).cast("long"))
-    over = over.withColumn("bytes", F.sum("n_bytes").over(W.partitionBy("depth", "prefix", "part")))
+    over = placed.where(F.col("bytes") > limit)
+    over = over.withColumn("bin", F.pmod(F.xxhash64("row"), F.ceil(F.col("bytes") / limit).cast("long")))
+    small = F.col("n_bytes") * 2 <= limit
+    in_order = W.partitionBy("depth", "prefix", "bin").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(small, F.col("n_bytes"))).over(in_order), F.lit(0))
+    chained = F.col("bin") * (1 << 24) + F.floor(before * 2 / limit).cast("long") + 1
+    over = over.withColumn("part", F.when(small, chained).otherwise(-1 - F.col("row")))
+    over = over.withColumn("bytes", F.sum("n_bytes").over(W.partitionBy("depth", "prefix", "bin", "part"))).drop("bin")
     fits = placed.where(F.col("bytes") <= limit).withColumn("part", F.lit(0).cast("long"))
     label = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    name = F.when(F.col("part") > 0, F.concat_ws(".", label, F.col("part").cast("string"))).otherwise(label)
+    name = F.when(F.col("part") != 0, F.concat_ws(".", label, F.col("part").cast("string"))).otherwise(label)
     return fits.unionByName(over).select(
         "doc_id", "n_bytes", "depth", "prefix", "part", name.alias("shard"), F.col("bytes").alias("shard_bytes")
     )
