@@ -133,3 +133,35 @@ def test_labels_of_comments(spark):
     assert left("<h1>Comments</h1><p>a</p>") == ["Comments", "a"]
     assert left("<article><h2>Comments</h2><p>a</p></article>") == ["Comments", "a"]
     assert left("<div><p>a</p><h3>Responses</h3><p>b</p></div>") == ["a", "Responses", "b"]
+
+
+MAIN = "<h1>Head line of it</h1>" + "".join(f"<p>Paragraph {i} of the article with some more words in it.</p>" for i in range(6))
+BAD = "<p>XX bad</p>"
+
+
+def kept(html):
+    return [b.text for b in he.by_elements(parse(html))]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        *[f"<article>{MAIN}<div {a}>{BAD}</div></article>" for a in (
+            "class='comment-list'", "id='comments-section'", "class='share-buttons'", "class='newsletter-box'", "class='related-posts'", "class='ad-slot'",
+        )],
+        f"<main><div class='sidebar-left'>{BAD}</div>{MAIN}</main>", f"<article>{MAIN}</article><article class='teaser'>{BAD}</article>",
+        f"<article class='teaser'>{BAD}</article><article>{MAIN}</article><article class='comment-entry'>{BAD}</article>",
+        f"<article>{MAIN}<article class='comment-entry'>{BAD}</article></article>", f"<form id='aspnetForm'><article>{MAIN}</article></form>",
+        f"<form id='aspnetForm'><div>{MAIN}</div><div class='nav'>XX</div></form>", f"<article>{MAIN}<form>{BAD}</form></article><form>{BAD}</form>",
+        f"<article><div class='content-with-sidebar'>{MAIN}</div></article>", f"<article><form>{BAD}</form>{MAIN}<form>{BAD}</form></article>",
+        f"<article><div class='text-with-ads'><div class='ad-one'>{BAD}</div>{MAIN}<div class='ad-two'>{BAD}</div></div></article>",
+    ],
+)
+def test_shares_of_words_decide_in_landmarks(html):
+    assert kept(f"<body>{html}</body>") == re.findall("(?:Head|Paragraph)[^<]*", MAIN)
+
+
+def test_many_doubtful_elements_take_linear_time():
+    began = time.time()
+    assert len(kept(f"<article>{'<div class=ad-x>' * 20_000}{MAIN * 3000}{'</div>' * 20_000}</article>")) == 21_000
+    assert time.time() - began < 10

@@ -10,7 +10,9 @@ import html
 import re
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import xxhash
 
@@ -42,7 +44,7 @@ _ENDS = {
 }
 _SECTIONS = frozenset("article main section div aside nav header footer form body table ul ol dl td th li blockquote".split())
 #: Elements that never hold main text, and roles and names that say so of others.
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template button select dialog menu head title object canvas".split())
+NOISE_TAGS = frozenset("nav footer aside script style noscript template button select dialog menu head title object canvas".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbox sponsor sponsored sponsors promo promos promotion banner "
@@ -89,6 +91,56 @@ class _Open:
     noise: int
     blocks: int = 0  # of the page when it was opened
     children: list[str] | None = None
+    #: What the end of the page decides about: a form, a name in doubt within a landmark, or a landmark.
+    kind: str = ""
+    inside: int = 0  # landmarks of the page when it was opened
+    nested: bool = False  # whether an article stands above it
+
+
+@dataclass
+class _Span:
+    kind: str
+    first: int  # its blocks
+    last: int
+    landmarks: int  # those within it
+    nested: bool  # whether an article stands above it
+
+
+def _decide(blocks: list[Block], spans: list[_Span], landmarks: int) -> None:
+    """Marks what only the whole page tells to be noise.
+
+    A form goes unless it holds a landmark or, on a page without any, half of the words or more.
+    An element whose name leaves a doubt within a landmark goes if it holds less than half of the
+    landmarks' words. Of several articles side by side the largest is the main one, and those go that
+    have less than half of its words.
+    """
+    words = [len(b.text.split()) for b in blocks]
+
+    def sums() -> Callable[[_Span], int]:
+        """Words of a span outside noise, as it stands now."""
+        upto = [0, *accumulate(w if b.noise < NOISE else 0 for b, w in zip(blocks, words))]
+        return lambda s: upto[s.last] - upto[s.first]
+
+    def drop(these: list[_Span]) -> None:
+        """Each block once: spans lie within each other or apart, and the outer ones come first."""
+        gone = [False] * len(blocks)
+        for s in sorted(these, key=lambda s: s.first - s.last):
+            if s.first < s.last and not (gone[s.first] and gone[s.last - 1]):
+                for k in range(s.first, s.last):
+                    gone[k], blocks[k].noise = True, NOISE
+
+    size, page = sums(), _Span("", 0, len(blocks), 0, False)
+    drop([s for s in spans if s.kind == "form" and not s.landmarks and (landmarks or 2 * size(s) < size(page))])
+    articles = [s for s in spans if s.kind == "article" and not s.nested]
+    if len(articles) > 1:
+        size = sums()
+        most = max(map(size, articles))
+        drop([s for s in articles if 2 * size(s) < most])
+    doubts = [s for s in spans if s.kind == "doubt"]
+    if doubts:
+        size = sums()
+        held = sum(w for b, w in zip(blocks, words) if b.content and b.noise < NOISE)
+        drop([s for s in doubts if 2 * size(s) < held])
 
 
 @dataclass
@@ -130,7 +182,8 @@ def _is_landmark(tag: str, attributes: dict[str, str]) -> bool:
 def _noise(tag: str, attributes: dict[str, str], in_content: bool) -> int:
     """0, DOUBT or NOISE. Names say nothing of landmarks and headings, which are named by their topics.
 
-    A name that holds other words too, as post-sidebar-left, leaves a doubt, and in a landmark none.
+    A name that holds other words too, as post-sidebar-left, leaves a doubt. An article within
+    another one may be a comment on it, so there its name counts.
     """
     if tag in NOISE_TAGS or tag == "header" and not in_content:
         return NOISE
@@ -138,14 +191,14 @@ def _noise(tag: str, attributes: dict[str, str], in_content: bool) -> int:
         return NOISE
     if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return NOISE
-    if tag in ("html", "body") or tag in _HEADINGS or _is_landmark(tag, attributes):
+    if tag in ("html", "body") or tag in _HEADINGS or _is_landmark(tag, attributes) and not (in_content and tag == "article"):
         return 0
     found = 0
     for words in _names(attributes):
         if words and words[0] not in _PREFIXES:
             hits = NOISE_NAMES.intersection(words)
             if hits and not (in_content and hits <= {"header"}):
-                found = max(found, NOISE if hits.issuperset(words) else 0 if in_content else DOUBT)
+                found = max(found, NOISE if hits.issuperset(words) else DOUBT)
     return found
 
 
@@ -162,6 +215,8 @@ def parse(page: str | None, root: int = 0) -> Page:
     sections: list[int] = []  # those of _SECTIONS
     held: list[str] = []
     blocks = out.blocks
+    spans: list[_Span] = []
+    landmarks = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -189,6 +244,8 @@ def parse(page: str | None, root: int = 0) -> Page:
                 sections.pop()
             if x.children:
                 out.styles.append((x.node, " ".join(x.children)))
+            if x.kind:
+                spans.append(_Span(x.kind, x.blocks, len(blocks), landmarks - x.inside - (x.kind == "article"), x.nested))
 
     def first_above(tags: set[str], limit: int) -> int:
         """Place of the outermost open element of the tags above a place, 0 if none."""
@@ -237,20 +294,27 @@ def parse(page: str | None, root: int = 0) -> Page:
         if tag in VOID or m[3].rstrip().endswith("/") and inline:
             continue
         up = stack[-1]
-        noise = max(up.noise, _noise(tag, attributes, up.content))
+        own = _noise(tag, attributes, up.content)
+        kind = "form" if tag == "form" else "doubt" if own == DOUBT and up.content else ""
+        noise = max(up.noise, 0 if kind == "doubt" else own)
         if inline:
             if noise > up.noise:
                 flush()
             new = _Open(tag, up.node, up.holder, up.content, noise, len(blocks))
         else:
-            content = up.content or noise < NOISE and _is_landmark(tag, attributes)
+            landmark = noise < NOISE and _is_landmark(tag, attributes)
+            content = up.content or landmark
+            in_article = bool(places["article"])
+            if landmark and tag == "article" and not kind:
+                kind = "article"
             name = "".join("." + "-".join(w) for w in _names(attributes) if w) if attributes else ""
             holder = stack[up.holder]
             if holder.children is None:
                 holder.children = []
             if not holder.children or holder.children[-1] != tag:
                 holder.children.append(tag)
-            new = _Open(tag, out.node(holder.node, tag + name), len(stack), content, noise, len(blocks))
+            new = _Open(tag, out.node(holder.node, tag + name), len(stack), content, noise, len(blocks), None, kind, landmarks, in_article)
+            landmarks += landmark
             if tag in _SECTIONS:
                 sections.append(len(stack))
         places[tag].append(len(stack))
@@ -260,4 +324,5 @@ def parse(page: str | None, root: int = 0) -> Page:
         close(1)
     if stack[0].children:
         out.styles.append((0, " ".join(stack[0].children)))
+    _decide(blocks, spans, landmarks)
     return out

@@ -10,7 +10,8 @@ other low leaves the texts that repeat go. What is low is told by the site itsel
 with a leaf of main text that holds many words, so a site of copies loses nothing.
 
 What pages say of themselves comes first: elements of noise (nav, footer, names, labels of
-comments) go, and where landmarks (article, main) hold text only they stay. Within landmarks no
+comments) go, and where landmarks (article, main) hold text only they stay. Forms, names in
+doubt within landmarks and several articles are decided by their share of the page's words. Within landmarks no
 branch goes by its importance: what a host's articles share, as headings, is their text too.
 
 Every page is parsed once; nodes and texts travel as 8-byte hashes that are summed before they
