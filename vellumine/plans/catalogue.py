@@ -13,7 +13,7 @@ from ..operators import facets, matching, merging, quality, ranking
 from ..sources import records
 from ..storage import scratch_path
 from ..streaming import feeds, limiter
-from . import collected, facts, stores
+from . import collected, facts, indexes, stores
 from .oracles import ORACLES as CATALOGUE_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -395,5 +395,5 @@ def q51_limiter(spark: SparkSession, d: str) -> DataFrame:
     return limiter.accepted(_t(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
-ORACLES = CATALOGUE_SQL | facts.ORACLES | collected.ORACLES | stores.ORACLES
-QUERIES = collected.QUERIES | facts.QUERIES | stores.QUERIES | {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
+ORACLES = CATALOGUE_SQL | facts.ORACLES | collected.ORACLES | stores.ORACLES | indexes.ORACLES
+QUERIES = collected.QUERIES | facts.QUERIES | stores.QUERIES | indexes.QUERIES | {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

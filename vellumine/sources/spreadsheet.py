@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, links, parsed_date, split_tags, years
+from .scan_order import numbered
 
 #: The columns of the sheet by position.
 COLUMNS = (
@@ -25,10 +26,13 @@ NOTHING = ("/",)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text columns of all rows, the file's byte order mark taken off."""
+    """Raw text columns of all rows with file and row_number (from 1, in the file's order), byte order marks taken off.
+
+    A row of several lines counts once.
+    """
     schema = ", ".join(f"{c} string" for c in COLUMNS)
     raw = spark.read.csv(path, schema=schema, header=False, multiLine=True, quote='"', escape='"')
-    return raw.withColumn("updated_at", F.regexp_replace("updated_at", "^﻿", ""))
+    return numbered(raw).withColumn("updated_at", F.regexp_replace("updated_at", "^﻿", ""))
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
