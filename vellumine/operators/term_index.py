@@ -2,13 +2,14 @@
 
 Every position of a text starts a gram of three characters; two closing marks let the last
 positions start one too. A text can only contain a term of three or more characters if it has all
-grams of the term, which candidates are then checked for on their text; one of one or two characters
-is contained exactly if some gram begins with it, which is a range of gram numbers.
+grams of the term; one of one or two characters is contained exactly if some gram begins with it,
+which is a range of gram numbers.
 
 Texts lie in blocks that close at 4096 rows or four million characters. A posting is a gram, a block
-and the rows of the block that have the gram, as gaps of one to three bytes. Postings are sorted by
-gram, so a search reads the row groups of its own grams; texts are in folders of blocks, so it reads
-the folders of its candidates only.
+and the rows of the block that have the gram, as gaps of one to three bytes. The postings that a task
+makes are a segment sorted by gram, so a search reads the pages of its own grams there. They say how
+many of the terms a text of a block may contain at most; texts are in folders of 16 blocks, so only
+folders with a chance are read, and what they contain is decided on the texts themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ..storage import Files, scratch_path
 BLOCK_ROWS, BLOCK_CHARACTERS = 4096, 1 << 22
 #: Blocks of a folder, and the most blocks of a task (as bits of a block's number).
 FOLDER_BITS, TASK_BITS = 4, 24
+#: Folders that are named in a filter; more are joined.
+_FEW = 10_000
 #: Bits of a character in a gram's number.
 _BITS = 21
 #: Characters of which the grams are sorted at once.
@@ -132,7 +135,7 @@ class Found:
 
     rows: DataFrame
     postings: int
-    verified: int
+    folders: int
 
 
 class TermIndex:
@@ -154,10 +157,8 @@ class TermIndex:
         rows.mapInArrow(_into_blocks, schema).write.partitionBy("__folder").parquet(f"{path}/texts")
         written = spark.read.schema(schema).parquet(f"{path}/texts").select("__block", "__row", "__text")
         posted = written.mapInArrow(_post, "gram long, block long, n int, held binary")
-        # a gram of every text has a posting a block, so its range is cut by block too
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = posted.repartitionByRange(n, "gram", "block").sortWithinPartitions("gram", "block")
-        dealt.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        # a segment for each task, in order of its own: a sort of all postings would shuffle them and make them twice
+        posted.sortWithinPartitions("gram", "block").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         Files(spark, path).publish("schema.json", schema.json())
         return cls(spark, path)
 
@@ -169,8 +170,8 @@ class TermIndex:
             hit = hit | ((F.col("gram") == low) if low == high else F.col("gram").between(low, high))
         return self.postings.where(hit)
 
-    def candidates(self, terms: list[str]) -> DataFrame:
-        """block, row and ceiling (how many of the terms the text may contain) of all texts that may contain one."""
+    def ceilings(self, terms: list[str]) -> DataFrame:
+        """__folder and ceiling (the most of the terms that a text of a block may contain) of blocks that may contain one."""
         wanted = [ranges_of(t) for t in terms]
 
         def each(group: pd.DataFrame) -> pd.DataFrame:
@@ -185,53 +186,55 @@ class TermIndex:
                         one[lists[i]] = True
                     has &= one
                 ceiling += has
-            rows = np.flatnonzero(ceiling)
-            return pd.DataFrame({"__block": group["block"].iloc[0], "__row": rows.astype(np.int32), "ceiling": ceiling[rows].astype(np.int32)})
-
-        return self.selected(terms).groupBy("block").applyInPandas(each, "__block long, __row int, ceiling int")
-
-    def _verified(self, candidates: DataFrame, terms: list[str]) -> DataFrame:
-        """id, hits of the candidates whose text contains a term; only folders that hold some are read."""
-        folders = [r[0] for r in candidates.select(F.shiftright("__block", FOLDER_BITS)).distinct().collect()]
-        texts = self.texts.where(F.col("__folder").isin(folders or [-1]))
+            return pd.DataFrame({"__folder": group["block"].iloc[:1].to_numpy() >> FOLDER_BITS, "ceiling": [int(ceiling.max())]})
+
+        found = self.selected(terms).groupBy("block").applyInPandas(each, "__folder long, ceiling int").where("ceiling > 0")
+        return found.groupBy("__folder").agg(F.max("ceiling").alias("ceiling"))
+
+    def _hits(self, folders: DataFrame, terms: list[str]) -> DataFrame:
+        """id and hits of the texts in some folders that contain a term; the texts are not shuffled."""
+        few = [r[0] for r in folders.select("__folder").limit(_FEW + 1).collect()]
+        if len(few) <= _FEW:
+            texts = self.texts.where(F.col("__folder").isin(few or [-1]))
+        else:  # a row for 64 million characters
+            texts = self.texts.join(F.broadcast(folders.select("__folder")), "__folder", "left_semi")
         hits = sum((F.contains("__text", F.lit(t)).cast("int") for t in terms), F.lit(0))
-        joined = texts.join(candidates, ["__block", "__row"])
-        return joined.select(F.col("__id").alias("id"), hits.alias("hits")).where("hits > 0")
+        return texts.select(F.col("__id").alias("id"), hits.alias("hits")).where("hits > 0")
+
+    def _kept_ceilings(self, terms: list[str]) -> DataFrame:
+        path = scratch_path(self.spark, "ceilings")
+        self.ceilings(terms).write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def search(self, terms: list[str]) -> DataFrame:
         """id and score (share of the distinct terms contained) of all rows that contain one; the terms' case counts."""
         terms = _checked(terms)
         if not terms:
             return self.texts.limit(0).select(F.col("__id").alias("id"), F.lit(0.0).alias("score"))
-        path = scratch_path(self.spark, "candidates")
-        self.candidates(terms).write.parquet(path)
-        return self._verified(self.spark.read.parquet(path), terms).select("id", (F.col("hits") / len(terms)).alias("score"))
+        return self._hits(self._kept_ceilings(terms), terms).select("id", (F.col("hits") / len(terms)).alias("score"))
 
     def best(self, terms: list[str], k: int) -> Found:
         """The k rows of search with the greatest score, ties to the smaller id.
 
-        Candidates are checked from the highest ceiling down, until k rows are known to score
+        Folders are read from the highest ceiling down, each once, until k rows are known to score
         no less than what the ceilings left allow.
         """
         terms = _checked(terms)
         if not terms or k < 1:
             return Found(self.search([]), 0, 0)
-        base = scratch_path(self.spark, "candidates")
-        self.candidates(terms).write.partitionBy("ceiling").parquet(f"{base}/rows")
-        found = self.spark.read.schema("__block long, __row int, ceiling int").parquet(f"{base}/rows")
-        sizes = {r["ceiling"]: r["n"] for r in found.groupBy("ceiling").agg(F.count("*").alias("n")).collect()}
-        verified, levels = 0, []
+        ceilings = self._kept_ceilings(terms)
+        sizes = {r["ceiling"]: r["n"] for r in ceilings.groupBy("ceiling").agg(F.count("*").alias("n")).collect()}
+        base, read, levels = scratch_path(self.spark, "hits"), 0, []
         for level in sorted(sizes, reverse=True):
-            own = found.where(F.col("ceiling") == level).drop("ceiling")
-            self._verified(own, terms).write.parquet(f"{base}/hits-{level}")
-            verified += sizes[level]
-            levels.append(f"{base}/hits-{level}")
+            self._hits(ceilings.where(F.col("ceiling") == level), terms).write.parquet(f"{base}/{level}")
+            levels.append(f"{base}/{level}")
+            read += sizes[level]
             if self.spark.read.parquet(*levels).where(F.col("hits") >= level).limit(k).count() == k:
                 break
         schema = f"id {self.texts.schema['__id'].dataType.simpleString()}, hits int"
         hits = self.spark.read.schema(schema).parquet(*levels) if levels else self.spark.createDataFrame([], schema)
         rows = hits.orderBy(F.col("hits").desc(), "id").limit(k).select("id", (F.col("hits") / len(terms)).alias("score"))
-        return Found(rows, self.selected(terms).count(), verified)
+        return Found(rows, self.selected(terms).count(), read)
 
 
 def _checked(terms: list[str]) -> list[str]:
