@@ -196,6 +196,15 @@ def test_merges_of_nested_objects(spark):
     assert got == [merged(*p) for p in pairs]
 
 
+def test_merges_parse_each_text_once(spark):
+    rows = spark.createDataFrame([("{}", "{}")], "o string, n string").coalesce(1)
+    parsed = []
+    for nested in ([], ["in"], ["in", "of"]):
+        plan = rows.select(js.merged_objects(F.col("o"), F.col("n"), nested).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+        parsed.append(sum(plan.lower().count(f) for f in ("parsejson", "parse_json")))
+    assert parsed[0] > 0 and parsed[2] - parsed[1] == parsed[1] - parsed[0] <= 2 and parsed[2] < 10
+
+
 def test_entries_are_set_and_asked_for(spark):
     rows = spark.createDataFrame([('{"a":{"b":null}}', "[1]"), (None, "no"), ("[]", None), ('{"k":1}', '{"z":1,"y":2}')], "j string, v string").coalesce(1)
     got = rows.select(js.with_entry(F.col("j"), "k", F.col("v")).alias("t"), js.has_key(F.col("j"), "a").alias("a")).collect()
