@@ -86,6 +86,24 @@ def test_best_rows_read_few_folders(spark, tmp_path):
     assert index.best(["absent"], 5).rows.count() == 0 and index.best([], 5).rows.count() == 0
 
 
+def test_task_holds_few_grams_and_texts(spark, tmp_path, monkeypatch):
+    """Postings are made of bounded pieces of a block, and only lengths go to Python to tell the blocks."""
+    held = []
+    monkeypatch.setattr(term_index, "_posted", lambda block, rows, found: held.append(sum(map(len, found))) or iter(()))
+    texts = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for i in range(300)]
+    batch = term_index.pa.RecordBatch.from_pydict({"block": [0] * 300, "row": list(range(300)), "text": texts})
+    list(term_index._post(iter([batch])))
+    assert max(held) <= 1 << 18 and sum(held) == sum(len(term_index.grams(t)) for t in texts)
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(term_index, "_HELD", 5000)
+    index = TermIndex.build(spark.createDataFrame(list(enumerate(texts)), "id long, body string").coalesce(2), "id", F.col("body"), str(tmp_path / "t"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert index.postings.count() > index.postings.select("gram", "block").distinct().count()  # blocks in pieces
+    for terms in (["abc"], ["qz", "e"], ["xyz", "zyx", "the"]):
+        assert sorted(r["id"] for r in index.search(terms).collect()) == [i for i, t in enumerate(texts) if hits(t, terms)]
+
+
 def test_blank_terms_are_refused(texts):
     with pytest.raises(ValueError, match="one character"):
         texts[1].search(["a", ""])

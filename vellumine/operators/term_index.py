@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..storage import Files, scratch_path
+from ..storage import Files, arrow_rows, scratch_path
 
 #: A block closes at this many rows or characters.
 BLOCK_ROWS, BLOCK_CHARACTERS = 4096, 1 << 22
@@ -38,6 +38,10 @@ _FEW = 10_000
 _BITS = 21
 #: Characters of which the grams are sorted at once.
 _PIECE = 1 << 20
+#: Grams of texts (of one text all) that a task holds before it makes postings of them: about 60 bytes each.
+_HELD = 1 << 18
+#: Texts that a Python worker gets at once.
+_ROWS = 256
 
 
 def grams(text: str) -> np.ndarray:
@@ -65,7 +69,7 @@ def packed(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     gaps = np.diff(rows, prepend=0)
     gaps[first] = rows[first]
     size = 1 + (gaps >= 1 << 7) + (gaps >= 1 << 14)
-    cells = np.stack([(gaps >> 7 * i & 127) | ((size > i + 1) << 7) for i in range(3)], axis=1).astype(np.uint8)
+    cells = np.stack([((gaps >> 7 * i & 127) | ((size > i + 1) << 7)).astype(np.uint8) for i in range(3)], axis=1)
     return cells[np.arange(3) < size[:, None]], np.cumsum(size)
 
 
@@ -77,21 +81,21 @@ def unpacked(held: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((cells & 127) << 7 * place, start)) if len(cells) else cells
 
 
-def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds block and row to rows of id and text."""
+_PLACE = StructType([StructField("block", LongType()), StructField("row", IntegerType())])
+
+
+@F.pandas_udf(_PLACE)
+def _placed(sizes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Block and row of each text of a task, by the texts' lengths in order."""
     block, row, held = TaskContext.get().partitionId() << TASK_BITS, 0, 0
-    for b in batches:
-        blocks, rows = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int32)
-        sizes = pa.compute.utf8_length(b.column("__text")).to_numpy(zero_copy_only=False)
-        for i, size in enumerate(sizes):
+    for series in sizes:
+        blocks, rows = np.empty(len(series), np.int64), np.empty(len(series), np.int32)
+        for i, size in enumerate(series):
             if row and (row == BLOCK_ROWS or held + size > BLOCK_CHARACTERS):
                 block, row, held = block + 1, 0, 0
             blocks[i], rows[i] = block, row
             row, held = row + 1, held + size
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns, pa.array(blocks), pa.array(rows), pa.array(blocks >> FOLDER_BITS)],
-            names=[*b.schema.names, "__block", "__row", "__folder"],
-        )
+        yield pd.DataFrame({"block": blocks, "row": rows})
 
 
 _POSTINGS = pa.schema([("gram", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("held", pa.binary())])
@@ -101,8 +105,10 @@ def _posted(block: int, rows: list[int], found: list[np.ndarray]) -> Iterator[pa
     if not found:
         return
     keys, of = np.concatenate(found), np.repeat(np.array(rows, np.int64), [len(f) for f in found])
+    found.clear()
     order = np.lexsort((of, keys))
     keys, of = keys[order], of[order]
+    del order
     first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
     cells, ends = packed(of, first)
     starts = np.flatnonzero(first)
@@ -115,14 +121,14 @@ def _posted(block: int, rows: list[int], found: list[np.ndarray]) -> Iterator[pa
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of rows of block, row and text; a block that two tasks read gets postings from both."""
+    """Postings of rows of block, row and text; a block gets several of a gram, if it has many or two tasks read it."""
     block, rows, found, size = None, [], [], 0
     for b in batches:
         for at, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if at != block or size > BLOCK_CHARACTERS:
+            own = grams(text.as_py())
+            if at != block or size + len(own) > _HELD:
                 yield from _posted(block, rows, found)
                 block, rows, found, size = at, [], [], 0
-            own = grams(text.as_py())
             rows.append(row)
             found.append(own)
             size += len(own)
@@ -152,13 +158,17 @@ class TermIndex:
         """Null texts are empty; ids may be null or repeat, each row is found for itself."""
         spark = items.sparkSession
         rows = items.select(F.col(id_col).alias("__id"), F.coalesce(text, F.lit("")).alias("__text"))
-        more = [StructField("__block", LongType()), StructField("__row", IntegerType()), StructField("__folder", LongType())]
-        schema = StructType([*rows.schema, *more])
-        rows.mapInArrow(_into_blocks, schema).write.partitionBy("__folder").parquet(f"{path}/texts")
+        # only lengths go through Python here; without a fixed value the places would be computed once a column
+        placed = rows.withColumn("__place", _placed.asNondeterministic()(F.length("__text")))
+        names = ["__id", "__text", F.col("__place.block").alias("__block"), F.col("__place.row").alias("__row")]
+        filed = placed.select(*names, F.shiftright("__place.block", FOLDER_BITS).alias("__folder"))
+        schema = StructType([StructField(f.name, f.dataType) for f in filed.schema])
+        filed.write.partitionBy("__folder").parquet(f"{path}/texts")
         written = spark.read.schema(schema).parquet(f"{path}/texts").select("__block", "__row", "__text")
         posted = written.mapInArrow(_post, "gram long, block long, n int, held binary")
         # a segment for each task, in order of its own: a sort of all postings would shuffle them and make them twice
-        posted.sortWithinPartitions("gram", "block").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        with arrow_rows(spark, _ROWS):
+            posted.sortWithinPartitions("gram", "block").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         Files(spark, path).publish("schema.json", schema.json())
         return cls(spark, path)
 
