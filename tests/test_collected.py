@@ -1,5 +1,7 @@
 """Rules over collected records on odd rows: nulls, blanks, ties, separators inside values, conflicting batches."""
 
+import html
+import re
 from datetime import datetime
 
 import pytest
@@ -212,6 +214,14 @@ def test_limiter_decides_nothing_about_nobody(spark):
     assert {r["id"]: r["accepted"] for r in limiter.accepted(rows, "k", "ts", "id", 1, 60).collect()} == {1: None, 2: True}
 
 
+def test_only_references_of_texts_go_to_python(spark):
+    texts = ["", None, "a", "&", "&&amp;", "&amp;amp;lt;", "x&ampy&amp;z&amp", "&notit;&notin;", "&#65;&#x42&#0;&#128;&#xD800;&#1114112;", "&#;&#x;&;& a", "a\n&lt;b&gt;\n", "&nbsp;😀&CounterClockwiseContourIntegral;&zz;😀&", "&é;&\tlt;", "&" + "q" * 40 + ";&lt;"]
+    assert values(spark, ar.unescaped, *texts) == [None if t is None else html.unescape(t) for t in texts]
+    plan = spark.createDataFrame([("x",)], "t string").select(ar.tag_lines(F.col("t")).alias("a"), ar.block_lines(F.col("t")).alias("b"))
+    calls = re.findall(r"ArrowEvalPython \[(.*)", plan._jdf.queryExecution().optimizedPlan().toString())
+    assert calls and all(c.count("array_distinct(") == c.count("unescaped") for c in "".join(calls).split("\n"))
+
+
 def test_page_errors_and_first_of(spark):
     rows = spark.createDataFrame([("s", 1, "a", 3), ("s", 2, "a", 3), ("t", 1, "b", 1), ("u", 1, None, 1)], "src string, page int, item string, total int")
     got = {r["src"]: (r["missing_ids"], r["repeated_ids"], r["short_by"]) for r in records.page_errors(rows, "src", "page", "item", "total").collect()}
