@@ -53,6 +53,30 @@ def test_scan_stops_at_cutoff_and_limit(spark, recorded, tmp_path):
     assert reads(tmp_path / "few") == 3
 
 
+def test_full_packs_are_a_file_and_read_in_parts(spark, tmp_path):
+    paged.register(spark)
+    rows = spark.range(600).select((F.col("id") % 2).alias("kind"), F.concat(F.lit("r\t\n"), F.col("id")).alias("rid"), F.timestamp_seconds("id").alias("at"))
+    path = tmp_path / "replies"
+    paged.record(rows, str(path), F.col("kind"), F.col("rid"), F.col("at"), size=1)
+    view = path / "view=1"
+    assert len(list(view.glob("pages=*"))) == 9 and len(list(view.glob("token=*"))) == 12
+    assert all(len(list(p.glob("*.txt"))) == 1 for p in view.glob("pages=*"))
+    got = scan(spark, str(path), audit=str(tmp_path / "all"))
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(r["rid"] for r in got.collect()) == sorted(r["rid"] for r in rows.collect())
+    assert reads(tmp_path / "all") == 600
+    late = scan(spark, str(path), audit=str(tmp_path / "late")).where(F.col("last_modified") > datetime(1970, 1, 1, 0, 9, 49))
+    assert sorted(r["rid"] for r in late.collect()) == sorted(f"r\t\n{i}" for i in range(590, 600))
+    assert reads(tmp_path / "late") == 14  # five newer ones and the next of each view; one page of each part behind
+    assert sorted(r["rid"] for r in scan(spark, str(path), view="1", limit="280").collect()) == sorted(f"r\t\n{i}" for i in range(41, 600, 2))
+    replies = paged.Replies(str(path))
+    assert [token for token, _ in replies.pages("1", "250", "256")] == [str(i) for i in range(250, 256)]
+    (view / "token=255").mkdir()  # a page of its own counts before a packed one
+    (view / "token=255" / "part-0").write_text('{"items": [], "has_more": false}')
+    with pytest.raises(paged.PagedError, match="ends before token 256"):
+        list(replies.pages("1", "250", "256"))
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     paged.register(spark)
     rows = spark.range(45).select(F.lit("v").alias("view"), F.col("id").cast("string").alias("rid"), F.timestamp_seconds("id").alias("at"))

@@ -1,9 +1,11 @@
 """Tables behind a paged interface, as a data source over its recorded replies.
 
 A reply is JSON with `items`, `has_more` and `page_token`, kept at view=<view>/token=<token>/ in a
-folder; the field list is the view `_fields`. The scan follows tokens from the first page of each view
-(one partition a view), asks for the fields of the schema only, and refuses a token that it has
-seen. Replies are sorted by time, newest first, so a pushed filter on `last_modified` (or `limit`)
+folder; the field list is the view `_fields`. Tokens that are numbers may be packed: `_PACK` of them
+from a multiple on are lines of token, tab and reply at view=<view>/pages=<number / _PACK>/. A page of
+its own counts before a packed one. The scan follows tokens from the first page of each view (one
+partition a view, of packed pages one for `_RUN` packs), asks for the fields of the schema only, and
+refuses a token that it has seen. Replies are sorted by time, newest first, so a pushed filter on `last_modified` (or `limit`)
 stops the scan. The stream starts with the oldest page and its offset is a token and a place.
 """
 
@@ -25,6 +27,8 @@ from ..storage import scratch_path
 FIRST = "0"
 #: Most records of a page.
 MOST = 500
+#: Pages of a pack, and packs of a partition.
+_PACK, _RUN = 32, 8
 ID, TIME = "record_id", "last_modified"
 TYPES: dict[str, DataType] = {"text": StringType(), "number": DoubleType(), "checkbox": BooleanType(), "datetime": TimestampType(), "list": ArrayType(StringType())}
 
@@ -41,6 +45,7 @@ class Replies:
 
         self._file_system, self._folder = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
         self._audit = audit
+        self._pack: tuple[tuple[str, int], dict[str, bytes]] = ("", -1), {}
 
     def _files(self, folder: str) -> list[str]:
         from pyarrow import fs
@@ -51,33 +56,55 @@ class Replies:
     def views(self) -> list[str]:
         return [n for p in self._files("") if (n := p.rpartition("view=")[2]) != p and n != "_fields"]
 
+    def packs(self, view: str) -> list[int]:
+        """Numbers of the packs that a view has."""
+        return sorted(int(n) for p in self._files(f"view={view}") if (n := p.rpartition("/pages=")[2]).isdecimal() and n != p)
+
+    def _read(self, path: str) -> bytes:
+        with self._file_system.open_input_stream(path) as stream:
+            return stream.read()
+
+    def _packed(self, view: str, token: str) -> bytes | None:
+        if not token.isdecimal():
+            return None
+        key = view, int(token) // _PACK
+        if self._pack[0] != key:
+            files = self._files(f"view={view}/pages={key[1]}")
+            lines = [line.partition(b"\t") for f in files for line in self._read(f).split(b"\n") if line]
+            self._pack = key, {own.decode(): reply for own, _, reply in lines}
+        return self._pack[1].get(token)
+
     def page(self, view: str, token: str) -> dict:
         files = self._files(f"view={view}/token={token}")
-        if not files:
+        found = self._read(files[0]) if files else self._packed(view, token)
+        if found is None:
             raise PagedError(f"no reply for token {token} of view {view}")
         if self._audit:
             folder = Replies(self._audit)
             folder._file_system.create_dir(folder._folder)
             with folder._file_system.open_append_stream(f"{folder._folder}/{view}-{token}") as out:
                 out.write(b".")
-        with self._file_system.open_input_stream(files[0]) as stream:
-            reply = json.loads(stream.read().decode())
+        reply = json.loads(found.decode())
         if not isinstance(reply, dict) or not isinstance(reply.get("items", []), list):
             raise PagedError(f"the reply for token {token} of view {view} is no page")
         return reply
 
-    def pages(self, view: str, token: str = FIRST) -> Iterator[tuple[str, dict]]:
-        """Pages from a token on; each token may come once."""
+    def pages(self, view: str, token: str = FIRST, end: str | None = None) -> Iterator[tuple[str, dict]]:
+        """Pages from a token on, before the token `end` if given; each token may come once."""
         seen: set[str] = set()
         while True:
             seen.add(token)
             reply = self.page(view, token)
             yield token, reply
             if not reply.get("has_more"):
+                if end is not None:
+                    raise PagedError(f"view {view} ends before token {end}")
                 return
             following = reply.get("page_token")
             if not isinstance(following, str) or not following or following in seen:
                 raise PagedError(f"view {view} has an invalid page token behind {token}")
+            if following == end:
+                return
             token = following
 
 
@@ -111,9 +138,9 @@ def rows_of(reply: dict, schema: StructType) -> Iterator[tuple]:
 
 
 class ViewPartition(InputPartition):
-    def __init__(self, view: str):
+    def __init__(self, view: str, start: str = FIRST, end: str | None = None):
         super().__init__(view)
-        self.view = view
+        self.view, self.start, self.end = view, start, end
 
 
 class PagedReader(DataSourceReader):
@@ -131,14 +158,21 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ViewPartition]:
-        wanted = self.options.get("view")
-        return [ViewPartition(v) for v in ([wanted] if wanted else Replies(self.options["path"]).views())]
+        wanted, replies = self.options.get("view"), Replies(self.options["path"])
+        views = [wanted] if wanted else replies.views()
+        if "limit" in self.options:  # a limit counts from the first page of a view
+            return [ViewPartition(v) for v in views]
+        out = []
+        for v in views:
+            starts = [FIRST, *[str(n * _PACK) for n in replies.packs(v) if n and n % _RUN == 0]]
+            out += [ViewPartition(v, *bounds) for bounds in zip(starts, [*starts[1:], None])]
+        return out
 
     def read(self, partition: ViewPartition) -> Iterator[tuple]:
         left = int(self.options.get("limit", 1 << 62))
         # the time is read too, even where it isn't asked for
         timed = StructType([*self.schema.fields, StructField(TIME, TimestampType())])
-        for _, reply in Replies(self.options["path"], self.options.get("audit")).pages(partition.view):
+        for _, reply in Replies(self.options["path"], self.options.get("audit")).pages(partition.view, partition.start, partition.end):
             for row in rows_of(reply, timed):
                 at = row[-1]
                 if self.cutoff and (at is None or at < self.cutoff[0] or at == self.cutoff[0] and self.cutoff[1]):
@@ -228,7 +262,8 @@ def _type_name(kind: DataType) -> str:
 def record(rows: DataFrame, path: str, view: Column, id_: Column, time: Column, size: int = MOST, newest_first: bool = True) -> None:
     """Writes rows as the pages that a table of them would reply with; all columns are fields.
 
-    Positions come from a rank directory, so no view is gathered; each page is one task's row.
+    Positions come from a rank directory, so no view is gathered; each page is one task's row. Full
+    packs are a file each; the pages behind them, where a view grows, have files of their own.
     """
     if not 1 <= size <= MOST:
         raise ValueError(f"a page has 1 to {MOST} records")
@@ -249,7 +284,15 @@ def record(rows: DataFrame, path: str, view: Column, id_: Column, time: Column,
     more = (F.col("page") + 1) * size < F.col("n")
     following = F.when(more, F.concat(F.lit(',"page_token":"'), (F.col("page") + 1).cast("string"), F.lit('"'))).otherwise("")
     reply = F.concat(F.lit('{"items":['), "items", F.lit('],"has_more":'), more.cast("string"), following, F.lit("}"))
-    pages.select("view", F.col("page").cast("string").alias("token"), reply.alias("value")).write.partitionBy("view", "token").mode("append").text(path)
+    kept = scratch_path(spark, "pages")  # both kinds are written from it
+    in_pack = F.col("page") < F.floor(F.ceil(F.col("n") / size) / _PACK) * _PACK
+    pages.select("view", "page", in_pack.alias("in_pack"), reply.alias("value")).write.parquet(kept)
+    done = spark.read.parquet(kept)
+    line = F.concat(F.col("page").cast("string"), F.lit("\t"), F.col("value")).alias("value")
+    packs = done.where("in_pack").select("view", F.floor(F.col("page") / _PACK).cast("long").alias("pages"), line)
+    packs.repartition("view", "pages").write.partitionBy("view", "pages").mode("append").text(path)
+    own = done.where("not in_pack").select("view", F.col("page").cast("string").alias("token"), "value")
+    own.write.partitionBy("view", "token").mode("append").text(path)
     listed = json.dumps({"items": [{"field_name": c, "type": _type_name(rows.schema[c].dataType)} for c in fields], "has_more": False})
     one = spark.createDataFrame([("_fields", FIRST, listed)], "view string, token string, value string")
     one.coalesce(1).write.partitionBy("view", "token").mode("append").text(path)
